@@ -55,3 +55,32 @@ def write_table(df: DataFrame, name: str, codec: str = "zstd", rows_per_file: in
         w = w.option("maxRecordsPerFile", rows_per_file)
     w.parquet(path)
     return Table(spark, path, df.schema)
+
+
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int, codec: str = "none") -> Table:
+    """Write ``df`` as a table bucketed by ``key``: later joins on ``key`` read it without a shuffle."""
+    spark = df.sparkSession
+    name = f"{name}_{uuid.uuid4().hex[:10]}"
+    path = f"{shared_dir(spark)}/{name}"
+    (df.write.format("parquet").option("path", path).option("compression", codec).option("parquet.enable.dictionary", "false").option("parquet.block.size", 32 << 20)
+     .bucketBy(buckets, key).saveAsTable(name))
+    out = Table.__new__(Table)
+    out.spark, out.path, out.df = spark, path, spark.table(name)
+    return out
+
+
+def text_bytes(docs: DataFrame, text: str = "text") -> int:
+    """Bytes of all texts."""
+    from pyspark.sql import functions as F
+
+    return docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
+
+
+def chunk_counter():
+    """Ids for the chunks of one task: the partition in the high bits. A task that runs again gives the same ids."""
+    from pyspark import TaskContext
+
+    at = TaskContext.get().partitionId() << 32
+    while True:
+        yield at
+        at += 1
