@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, mixing
+from plumbline.llm import bpe, mixing, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, size="size").select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeat_digests(_table(spark, sf_dir, "documents"))
+
+
 def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -26,10 +30,23 @@ def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mix_sources": op6_mix_sources,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_byte_level_bpe": op8_byte_level_bpe,
 }
 
 ORACLE: dict[str, str] = {
+    "op7_substring_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS p FROM d WHERE len(w) >= 35),
+h AS (SELECT r, p, md5_number(array_to_string(list_slice(w, p, p + 34), ' ')) AS h FROM s),
+t AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+x AS (SELECT DISTINCT r, unnest(range(p, p + 35)) AS p FROM h SEMI JOIN t USING (h)),
+u AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+k AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS kept FROM u ANTI JOIN x USING (r, p) GROUP BY r),
+g AS (SELECT r, count(*) AS n FROM x GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g USING (r) LEFT JOIN k USING (r)
+""",
     "op6_mix_sources": r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
