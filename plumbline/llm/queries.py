@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, mixing, neardup, quality, substring
+from plumbline.llm import bpe, html_text, mixing, neardup, quality, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count("text").alias("size"))
     return mixing.mix(docs, size="size").select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
@@ -42,6 +46,7 @@ def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op4_minhash_neardup": op4_minhash_neardup,
+    "op5_html_main_text": op5_html_main_text,
     "op6_mix_sources": op6_mix_sources,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_byte_level_bpe": op8_byte_level_bpe,
