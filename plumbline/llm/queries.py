@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, html_text, mixing, neardup, quality, substring
+from plumbline.llm import bpe, embdup, html_text, mixing, nearest, neardup, quality, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,14 @@ def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdup.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op4_minhash_neardup": op4_minhash_neardup,
@@ -50,9 +58,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mix_sources": op6_mix_sources,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_byte_level_bpe": op8_byte_level_bpe,
+    "op9_embedding_neardup": op9_embedding_neardup,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
 ORACLE: dict[str, str] = {
+    "op9_embedding_neardup": r"""
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+c AS (SELECT vec_id AS a, vec_id AS b FROM e UNION SELECT c.a, l.b FROM c JOIN l ON l.a = c.b),
+m AS (SELECT a AS vec_id, min(b) AS component_id FROM c GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM m LEFT JOIN n USING (vec_id)
+""",
+    "op10_nearest_neighbours": r"""
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.v, c.v) AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INT AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""",
     "op4_minhash_neardup": r"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT r, h FROM (
