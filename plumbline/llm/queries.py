@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, embdup, html_text, mixing, nearest, neardup, quality, substring
+from plumbline.llm import bpe, embdup, html_text, mixing, nearest, neardup, ngrams, quality, substring, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,19 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    rank_path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    folder, manifest = token_files.write(_table(spark, sf_dir, "documents"), rank_path, public_tokenizers.PATTERN, separator=50256)
+    counts = token_files.scan(spark, folder, separator=50256)
+    return manifest.join(counts, ["file", "place"]).select("doc_id", "n_tokens")
+
+
+def op3_lm_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.backoff_scores(_table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -53,6 +66,8 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_token_counts": op2_token_counts,
+    "op3_lm_backoff": op3_lm_backoff,
     "op4_minhash_neardup": op4_minhash_neardup,
     "op5_html_main_text": op5_html_main_text,
     "op6_mix_sources": op6_mix_sources,
