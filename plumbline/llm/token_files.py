@@ -100,8 +100,9 @@ def scan(spark: SparkSession, folder: str, separator: int, dtype: str = "<u2", b
     files = spark.createDataFrame([(f"{folder}/{n}", b // width) for n, b in sizes], "file string, size long")
     blocks = files.filter("size > 0").select("file", "size", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(block_tokens).cast("long"))).alias("block", "start"))
     blocks = blocks.select("file", F.col("block").cast("long").alias("block"), "start", F.least(F.lit(block_tokens), F.col("size") - F.col("start")).cast("long").alias("tokens"))
-    parts = max(1, sum(-(-(b // width) // block_tokens) for _, b in sizes))
-    found = blocks.repartition(min(parts, 20_000), "file", "block").mapInArrow(lambda it: _scan_blocks(it, separator, dtype), "file string, block long, ends array<long>, documents long, rest long")
+    tokens = sum(b // width for _, b in sizes)
+    parts = int(min(20_000, max(1, min(-(-tokens // block_tokens), 2 * spark.sparkContext.defaultParallelism), tokens // BLOCK_TOKENS)))
+    found = blocks.repartition(parts, "file", "block").mapInArrow(lambda it: _scan_blocks(it, separator, dtype), "file string, block long, ends array<long>, documents long, rest long")
     found = store.write_table(found, "blocks").df
     order = Window.partitionBy("file").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
