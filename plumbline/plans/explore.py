@@ -91,6 +91,7 @@ def _rows(df: DataFrame) -> list[dict]:
 
 def analyze_table(df: DataFrame, options: Options) -> dict:
     """Statistics, coverage, events or trends, categories and correlations of a table."""
+    df = df.toDF(*[re.sub(r"[.`]", "_", c) for c in df.columns])
     numeric = profile.numeric_columns(df)
     df = df.select(*[without_sentinels(F.col(f"`{c}`")).alias(c) if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{c}`") for c in df.columns])
     df, time = find_time(df)

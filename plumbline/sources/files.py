@@ -156,5 +156,5 @@ def point_series_url(base: str, latitude: float, longitude: float, start: str, e
     """URL of a daily point series at a web service: checked latitude, wrapped longitude, compact dates."""
     if not (-90 <= latitude <= 90 and -180 <= longitude <= 360):
         raise ValueError(f"latitude {latitude} or longitude {longitude} is out of range")
-    lon = round((longitude + 180) % 360 - 180, 4)
+    lon = round((float(longitude) + 180) % 360 - 180, 4)
     return f"{base}?parameters={','.join(parameters)}&longitude={lon}&latitude={round(float(latitude), 4)}&start={start.replace('-', '')}&end={end.replace('-', '')}&format=CSV"
