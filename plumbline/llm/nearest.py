@@ -277,7 +277,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
     asked = rows.filter(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "vec")
     asked = store.write_table(asked.join(nodes.select("vec", "node"), "vec").select("query_id", "node"), "asked").df
     sample = small.orderBy(F.xxhash64("node"), "node").limit(ENTRIES).toPandas()
-    entry = (sample["node"].to_numpy(np.int64), np.frombuffer(b"".join(sample["v"]), np.float16).reshape(len(sample), -1))
+    entry = (sample["node"].to_numpy(np.int64), np.frombuffer(b"".join(sample["v"]), np.float16).reshape(len(sample), top["d"] or 0))
     state = store.write_table(asked.select("node").distinct().join(small, "node").mapInArrow(lambda it: _start(it, entry, beam), "q long, v binary, ids binary, dists binary, done binary").withColumn("open", F.lit(True)), "beam", "none")
     while not state.df.filter("open").isEmpty():
         front = state.df.filter("open").mapInArrow(lambda it: _frontier(it, width), "node long, q long, v binary")
