@@ -37,9 +37,10 @@ from plumbline.llm.textops import LOWER, mix, span_hashes, text_blocks, window_h
 WIDTH = 5
 PERCENT = 85
 HOT = 64
-CHUNK_BYTES = 16 << 20
-CELLS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("nodes", pa.list_(pa.int64())), ("values", pa.binary()), ("which", pa.binary()), ("ranks", pa.binary())])
-CELLS_DDL = "chunk long, bucket int, ids array<long>, sizes array<long>, nodes array<long>, values binary, which binary, ranks binary"
+CHUNK_BYTES = 8 << 20
+LIST_BYTES = 8 << 20  # text whose retained values one bucket holds
+CELLS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("hots", pa.list_(pa.int64())), ("nodes", pa.list_(pa.int64())), ("values", pa.binary()), ("which", pa.binary()), ("ranks", pa.binary())])
+CELLS_DDL = "chunk long, bucket int, ids array<long>, sizes array<long>, hots array<long>, nodes array<long>, values binary, which binary, ranks binary"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -74,23 +75,31 @@ def set_nodes(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.where(n > 0, mix(run[edges[1:]] - run[edges[:-1]], 77) ^ n.astype(np.uint64), np.uint64(0))
 
 
-def sketches(values: np.ndarray, edges: np.ndarray, percent: int, hot: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(retained values, their text, their rank from 1) with hot values last in the order."""
+def sketches(values: np.ndarray, edges: np.ndarray, percent: int, hot: np.ndarray | None, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(retained values, their text, their rank from 1, hot values of each text) with hot values last in the order.
+
+    ``whole`` retains instead all values of the texts whose sketch in plain order has a hot value.
+    """
     n = np.diff(edges)
     k = n - (percent * n + 99) // 100 + 1
     text = np.repeat(np.arange(len(n)), n)
     rank = np.arange(len(values)) - np.repeat(edges[:-1], n)
+    hots = np.zeros(len(n), np.int64)
     if hot is not None:
         late = graph.in_bitmap(values, hot)
+        if whole:
+            keep = np.repeat(np.bincount(text[late & (rank < np.repeat(k, n))], minlength=len(n)) > 0, n)
+            return values[keep], text[keep], rank[keep] + 1, hots
         seen = np.concatenate([[0], np.cumsum(late)])
         late_before = seen[:-1] - np.repeat(seen[edges[:-1]], n)
-        early = np.repeat(n - (seen[edges[1:]] - seen[edges[:-1]]), n)
+        hots = seen[edges[1:]] - seen[edges[:-1]]
+        early = np.repeat(n - hots, n)
         rank = np.where(late, early + late_before, rank - late_before)
     keep = rank < np.repeat(k, n)
-    return values[keep], text[keep], rank[keep] + 1
+    return values[keep], text[keep], rank[keep] + 1, hots
 
 
-def _cells(batches: Iterable[pa.RecordBatch], bits: int, percent: int, hot: np.ndarray | None, width: int) -> Iterator[pa.RecordBatch]:
+def _cells(batches: Iterable[pa.RecordBatch], bits: int, percent: int, hot: np.ndarray | None, width: int, whole: bool = False) -> Iterator[pa.RecordBatch]:
     ids = store.chunk_counter()
     for rows, data, offsets in text_blocks(batches, max_bytes=CHUNK_BYTES):
         chunk = next(ids)
@@ -104,7 +113,7 @@ def _cells(batches: Iterable[pa.RecordBatch], bits: int, percent: int, hot: np.n
 
         row(chunk=chunk, bucket=-1, ids=rows.column(0).to_pylist(), sizes=sizes, nodes=nodes.view(np.int64))
         valid = np.asarray(rows.column(0).is_valid()) & (sizes > 0)
-        value, text, rank = sketches(values, edges, percent, hot)
+        value, text, rank, hots = sketches(values, edges, percent, hot, whole)
         once = np.zeros(len(nodes), bool)
         once[np.flatnonzero(valid)[np.unique(nodes[valid], return_index=True)[1]]] = True
         use = once[text]
@@ -115,22 +124,25 @@ def _cells(batches: Iterable[pa.RecordBatch], bits: int, percent: int, hot: np.n
         for b in np.flatnonzero(np.diff(cut)):
             i, j = cut[b], cut[b + 1]
             own, which = np.unique(text[i:j], return_inverse=True)
-            row(chunk=chunk, bucket=int(b), nodes=nodes[own].view(np.int64), sizes=sizes[own], values=packed.pack(value[i:j]), which=_planes(which), ranks=_planes(rank[i:j]))
+            row(chunk=chunk, bucket=int(b), nodes=nodes[own].view(np.int64), sizes=sizes[own], hots=hots[own], values=packed.pack(value[i:j]), which=_planes(which), ranks=_planes(rank[i:j]))
         yield pa.RecordBatch.from_pydict(out, CELLS)
 
 
 def _lists(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """Postings of a bucket in list order: (value, node, set size, rank), each node once per list."""
+    """Postings of a bucket in list order, each node once per list: (value, node, set size, hot values, rank).
+
+    In a list the nodes with the fewest values that aren't hot come first: they can link with most others.
+    """
     parts = []
-    for v, w, r, nodes, sizes in zip(*(table[c].to_pylist() for c in ("values", "which", "ranks", "nodes", "sizes"))):
+    for v, w, r, nodes, sizes, hots in zip(*(table[c].to_pylist() for c in ("values", "which", "ranks", "nodes", "sizes", "hots"))):
         w = _unplanes(w)
-        parts.append((packed.unpack(v), np.array(nodes, np.int64)[w], np.array(sizes, np.int64)[w], _unplanes(r).astype(np.int64)))
-    value, node, size, rank = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((node, value))
-    value, node, size, rank = value[order], node[order], size[order], rank[order]
+        parts.append((packed.unpack(v), np.array(nodes, np.int64)[w], np.array(sizes, np.int64)[w], np.array(hots, np.int64)[w], _unplanes(r).astype(np.int64)))
+    value, node, size, hot, rank = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((node, size - hot, value))
+    value, node, size, hot, rank = value[order], node[order], size[order], hot[order], rank[order]
     fresh = np.ones(len(value), bool)
     fresh[1:] = (value[1:] != value[:-1]) | (node[1:] != node[:-1])
-    return value[fresh], node[fresh], size[fresh], rank[fresh]
+    return value[fresh], node[fresh], size[fresh], hot[fresh], rank[fresh]
 
 
 def _bounds(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +164,7 @@ def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
 
 def _hubs(table: pa.Table, percent: int) -> pa.Table:
     """Pairs of each list's first node with the others, and the number of lists."""
-    value, node, size, _ = _lists(table)
+    value, node, size, _, _ = _lists(table)
     start, length = _bounds(value)
     hub = np.repeat(start, length)
     use = (np.arange(len(value)) != hub) & _alike(size, size[hub], percent)
@@ -164,8 +176,12 @@ def _hubs(table: pa.Table, percent: int) -> pa.Table:
 
 
 def _across(table: pa.Table, roots: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs across components in each list: shared values and ranks of the last one."""
-    value, node, size, rank = _lists(table)
+    """Pairs across components in each list: shared values and ranks of the last one.
+
+    A pair whose first shared value is hot shares hot values only, so it must have enough of them; a pair
+    that shares an earlier value comes from that value's list. So a hot list yields few pairs, however long.
+    """
+    value, node, size, hot, rank = _lists(table)
     known, root = roots["node"].to_numpy(), roots["root"].to_numpy()
     order = np.argsort(known)
     known, root = known[order], root[order]
@@ -175,22 +191,25 @@ def _across(table: pa.Table, roots: pa.Table, percent: int) -> Iterator[pa.Recor
     differ = np.concatenate([[0], np.cumsum(np.concatenate([own[1:] != own[:-1], [False]]))]) if len(own) else np.zeros(1, np.int64)
     mixed = (length > 1) & (differ[np.maximum(start + length - 1, 0)] > differ[start])
     start, length = start[mixed], length[mixed]
+    late = rank > size - hot
     for m in np.unique(length):
         lists = start[length == m]
-        i, j = np.triu_indices(m, 1) if m <= 2048 else (None, None)
-        if i is not None:
-            step = max(1, 2_000_000 // len(i))
+        if m <= 128:
+            i, j = np.triu_indices(m, 1)
+            step = max(1, 200_000 // len(i))
             parts = (((lists[k : k + step, None] + i).ravel(), (lists[k : k + step, None] + j).ravel()) for k in range(0, len(lists), step))
         else:
             parts = ((np.full(m - k - 1, s + k), np.arange(s + k + 1, s + m)) for s in lists for k in range(m - 1))
         for x, y in parts:
-            use = (own[x] != own[y]) & _alike(size[x], size[y], percent)
-            x, y = x[use], y[use]
+            need = percent * (size[x] + size[y])
             # At most what precedes the shared value in both, itself, and what follows in both.
             most = np.minimum(rank[x], rank[y]) + np.minimum(size[x] - rank[x], size[y] - rank[y])
-            use = (100 + percent) * most >= percent * (size[x] + size[y])
+            most = np.where(late[x], np.minimum(hot[x], hot[y]), most)
+            use = (own[x] != own[y]) & _alike(size[x], size[y], percent) & ((100 + percent) * most >= need)
             x, y = x[use], y[use]
             if len(x):
+                # Lists order nodes each in its way: a pair has one name.
+                x, y = np.where(node[x] < node[y], x, y), np.where(node[x] < node[y], y, x)
                 yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y]), pa.array(size[x]), pa.array(size[y]), pa.array(rank[x]), pa.array(rank[y])], ["a", "b", "na", "nb", "ra", "rb"])
 
 
@@ -253,26 +272,31 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    bits = packed.bucket_bits(store.text_bytes(docs), 80 << 20)
+    bits = packed.bucket_bits(store.text_bytes(docs), LIST_BYTES, least=6)
 
-    def cells(hot):
-        return store.write_table(docs.mapInArrow(lambda it: _cells(it, bits, percent, hot.value if hot else None, width), CELLS_DDL), "lists", "none")
+    def cells(hot=None, whole=False):
+        return docs.mapInArrow(lambda it: _cells(it, bits, percent, hot.value if hot else None, width, whole), CELLS_DDL)
 
-    table = cells(None)
-    hot = table.df.filter("bucket >= 0").groupBy("bucket").applyInArrow(_hot_values, "value long")
-    hot = graph.bitmap(hot, "value")
+    def hot_values(rows):
+        return rows.filter("bucket >= 0").groupBy("bucket").applyInArrow(_hot_values, "value long")
+
+    # Values of long lists, then those among all values of the sets that have one: so sets that share much
+    # have all that they share demoted at once.
+    table = store.write_table(cells(), "lists", "none")
+    hot = graph.bitmap(hot_values(table.df), "value")
     if hot.any():
         table.drop()
-        table = cells(spark.sparkContext.broadcast(hot))
-    lists = table.df.filter("bucket >= 0").select("bucket", "values", "which", "ranks", "nodes", "sizes")
+        hot |= graph.bitmap(hot_values(cells(spark.sparkContext.broadcast(hot), whole=True)), "value")
+        table = store.write_table(cells(spark.sparkContext.broadcast(hot)), "lists", "none")
+    lists = table.df.filter("bucket >= 0").select("bucket", "values", "which", "ranks", "nodes", "sizes", "hots")
     hubs = store.write_table(lists.groupBy("bucket").applyInArrow(lambda t: _hubs(t, percent), "bucket int, a long, b long, shared long"), "hubs").df
     total = hubs.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     best = total.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
     first = store.write_table(_verified(docs, store.write_table(best, "pairs").df, percent, width), "links").df
     roots = graph.components(first)
     met = hubs.select("bucket", F.col("a").alias("node")).union(hubs.select("bucket", "b")).distinct().join(roots, "node")
-    across = lists.groupBy("bucket").cogroup(met.select("bucket", "node", "root").groupBy("bucket")).applyInArrow(lambda x, y: _table(_across(x, y, percent)) if x.num_rows else _table(()), "a long, b long, na long, nb long, ra long, rb long")
-    seen = across.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("ra").alias("ra"), F.max("rb").alias("rb"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    across = lists.groupBy("bucket").cogroup(met.select("bucket", "node", "root").groupBy("bucket")).applyInArrow(lambda x, y: _summed(_across(x, y, percent) if x.num_rows else ()), "a long, b long, na long, nb long, ra long, rb long, shared long")
+    seen = across.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("ra").alias("ra"), F.max("rb").alias("rb"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     can = F.col("shared") + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))
     rest = store.write_table(seen.filter(can * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select("a", "b"), "pairs").df
     if not rest.isEmpty():
@@ -286,5 +310,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _table(batches: Iterable[pa.RecordBatch]) -> pa.Table:
-    return pa.Table.from_batches(list(batches), pa.schema([(c, pa.int64()) for c in ("a", "b", "na", "nb", "ra", "rb")]))
+def _summed(batches: Iterable[pa.RecordBatch]) -> pa.Table:
+    """One row per pair of a bucket: (a, b, na, nb, ra, rb, shared)."""
+    names = ("a", "b", "na", "nb", "ra", "rb")
+    parts = list(batches)
+    a, b, na, nb, ra, rb = (np.concatenate([p.column(c).to_numpy() for p in parts]) if parts else np.zeros(0, np.int64) for c in names)
+    order = np.lexsort((b, a))
+    a, b, na, nb, ra, rb = a[order], b[order], na[order], nb[order], ra[order], rb[order]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+    most = lambda x: np.maximum.reduceat(x, first) if len(first) else x
+    return pa.table(dict(zip((*names, "shared"), (a[first], b[first], na[first], nb[first], most(ra), most(rb), np.diff(np.append(first, len(a)))))))
