@@ -30,15 +30,17 @@ from plumbline.llm.textops import LOWER, mix, span_hashes, text_blocks, window_h
 
 ORDER, BACKOFF = 3, 0.4
 CHUNK_BYTES = 8 << 20
-CELLS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("codes", pa.binary()), ("words", pa.binary()), ("values", pa.binary()), ("many", pa.binary())])
-CELLS_DDL = "chunk long, bucket int, ids array<long>, counts array<long>, codes binary, words binary, values binary, many binary"
+CHUNKS = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("codes", pa.binary()), ("words", pa.binary())])
+CHUNKS_DDL = "chunk long, ids array<long>, counts array<long>, codes binary, words binary"
+CELLS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("values", pa.binary()), ("many", pa.binary())])
+CELLS_DDL = "chunk long, bucket int, values binary, many binary"
 
 
-def _grams(words: np.ndarray, place: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each length: (positions of the n-grams' last words, their hashes)."""
+def _grams(words: np.ndarray, place: np.ndarray, order: int, shift: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length: (positions of the n-grams' last words, their hashes without the last ``shift`` bits)."""
     out = []
     for n in range(1, order + 1):
-        h = window_hashes(words, n)
+        h = window_hashes(words, n) >> np.uint64(shift) << np.uint64(shift)
         last = np.arange(n - 1, n - 1 + len(h))
         ok = place[last] >= n - 1
         out.append((last[ok], h[ok]))
@@ -50,7 +52,7 @@ def _place(counts: np.ndarray) -> np.ndarray:
     return np.arange(int(counts.sum())) - np.repeat(first, counts)
 
 
-def _split(batches: Iterable[pa.RecordBatch], order: int, bits: int) -> Iterator[pa.RecordBatch]:
+def _split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids = store.chunk_counter()
     for rows, data, offsets in text_blocks(batches, max_bytes=CHUNK_BYTES):
         chunk, data = next(ids), LOWER[data]
@@ -60,20 +62,33 @@ def _split(batches: Iterable[pa.RecordBatch], order: int, bits: int) -> Iterator
         rank = np.argsort(-often, kind="stable")
         number = np.empty(len(rank), np.int64)
         number[rank] = np.arange(len(rank))
-        out = {x: [] for x in CELLS.names}
+        out = {x: [] for x in CHUNKS.names}
 
         def row(**x):
-            for k in CELLS.names:
+            for k in CHUNKS.names:
                 out[k].append(x.get(k))
 
-        row(chunk=chunk, bucket=-1, ids=rows.column(0).to_pylist(), counts=counts, codes=_planes(number[code]), words=known[rank].tobytes())
-        every = np.concatenate([h for _, h in _grams(words, _place(counts), order)])
-        value, many = np.unique(every, return_counts=True)
-        cut = packed.cuts(value, bits)
-        for b in np.flatnonzero(np.diff(cut)):
-            i, j = cut[b], cut[b + 1]
-            row(chunk=chunk, bucket=int(b), values=packed.pack(value[i:j]), many=_planes(many[i:j]))
-        yield pa.RecordBatch.from_pydict(out, CELLS)
+        row(chunk=chunk, ids=rows.column(0).to_pylist(), counts=counts, codes=_planes(number[code]), words=known[rank].tobytes())
+        yield pa.RecordBatch.from_pydict(out, CHUNKS)
+
+
+def _count(batches: Iterable[pa.RecordBatch], order: int, bits: int, shift: int) -> Iterator[pa.RecordBatch]:
+    """Distinct n-grams of each chunk with their counts, a row per bucket."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            words, counts = _words(batch, i)
+            value, many = np.unique(np.concatenate([h for _, h in _grams(words, _place(counts), order, shift)]), return_counts=True)
+            cut = packed.cuts(value, bits)
+            chunk = batch.column("chunk")[i].as_py()
+            rows = [{"chunk": chunk, "bucket": int(b), "values": packed.pack(value[cut[b] : cut[b + 1]] >> np.uint64(shift)), "many": _planes(many[cut[b] : cut[b + 1]])} for b in np.flatnonzero(np.diff(cut))]
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, CELLS)
+
+
+def _words(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the chunk's words in place, words of each text)."""
+    codes = _unplanes(batch.column("codes")[i].as_py())
+    return np.frombuffer(batch.column("words")[i].as_py(), np.uint64)[codes], np.array(batch.column("counts")[i].as_py(), np.int64)
 
 
 def _totals(table: pa.Table) -> pa.Table:
@@ -86,15 +101,13 @@ def _totals(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "totals": pa.array([_planes(x) for x in parts], pa.binary())})
 
 
-def _score(batches: Iterable[pa.RecordBatch], order: int, backoff: float, corpus: int) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterable[pa.RecordBatch], order: int, backoff: float, corpus: int, shift: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            counts = np.array(batch.column("counts")[i].as_py(), np.int64)
-            codes = _unplanes(batch.column("codes")[i].as_py())
-            words = np.frombuffer(batch.column("words")[i].as_py(), np.uint64)[codes]
+            words, counts = _words(batch, i)
             place = _place(counts)
             doc = np.repeat(np.arange(len(counts)), counts)
-            grams = _grams(words, place, order)
+            grams = _grams(words, place, order, shift)
             value = np.unique(np.concatenate([h for _, h in grams]))
             parts = [_unplanes(x["totals"]) for x in batch.column("answers")[i].as_py() or ()]
             total = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
@@ -124,11 +137,13 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = store.text_bytes(slim)
     bits = packed.bucket_bits(total * order, 24 << 20)
+    # Hashes long enough that an n-gram meets another's with probability 2**-20.
+    shift = 64 - min(64, max(44, int(max(total, 1) * order // 6 + 1).bit_length() + 20))
     parts = int(min(20_000, max(16, total // CHUNK_BYTES)))
-    split = store.write_bucketed(slim.mapInArrow(lambda it: _split(it, order, bits), CELLS_DDL), "ngrams", "chunk", parts).df
-    whole = split.filter("bucket < 0")
+    whole = store.write_bucketed(slim.mapInArrow(_split, CHUNKS_DDL), "ngrams", "chunk", parts).df
     corpus = whole.agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).first()["n"] or 0
-    answers = split.filter("bucket >= 0").select("chunk", "bucket", "values", "many").groupBy("bucket").applyInArrow(_totals, "chunk long, bucket int, totals binary")
+    cells = whole.select("chunk", "counts", "codes", "words").mapInArrow(lambda it: _count(it, order, bits, shift), CELLS_DDL)
+    answers = cells.groupBy("bucket").applyInArrow(_totals, "chunk long, bucket int, totals binary")
     answers = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "totals"))).alias("answers"))
     rows = whole.select("chunk", "ids", "counts", "codes", "words").hint("merge").join(answers.hint("merge"), "chunk", "left")
-    return rows.select("ids", "counts", "codes", "words", "answers").mapInArrow(lambda it: _score(it, order, backoff, corpus), "doc_id long, n_words long, score double")
+    return rows.select("ids", "counts", "codes", "words", "answers").mapInArrow(lambda it: _score(it, order, backoff, corpus, shift), "doc_id long, n_words long, score double")
