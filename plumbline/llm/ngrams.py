@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import packed, store
 from plumbline.llm.bpe import _planes, _unplanes
-from plumbline.llm.textops import LOWER, mix, span_hashes, text_blocks, window_hashes, word_spans
+from plumbline.llm.textops import LOWER, span_hashes, text_blocks, window_hashes, word_spans
 
 ORDER, BACKOFF = 3, 0.4
 CHUNK_BYTES = 8 << 20
@@ -108,14 +108,14 @@ def _score(batches: Iterable[pa.RecordBatch], order: int, backoff: float, corpus
             place = _place(counts)
             doc = np.repeat(np.arange(len(counts)), counts)
             grams = _grams(words, place, order, shift)
-            value = np.unique(np.concatenate([h for _, h in grams]))
+            _, place_of = np.unique(np.concatenate([h for _, h in grams]), return_inverse=True)
+            place_of = np.split(place_of, np.cumsum([len(h) for _, h in grams])[:-1])
             parts = [_unplanes(x["totals"]) for x in batch.column("answers")[i].as_py() or ()]
             total = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
             elsewhere = []
-            for last, h in grams:
+            for (last, _), at in zip(grams, place_of):
                 # The document's own occurrences don't count.
-                at = np.searchsorted(value, h)
-                _, which, own = np.unique(mix(h ^ (doc[last].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), 31), return_inverse=True, return_counts=True)
+                _, which, own = np.unique(doc[last] * (len(total) + 1) + at, return_inverse=True, return_counts=True)
                 full = np.zeros(len(words), np.int64)
                 full[last] = total[at] - own[which]
                 elsewhere.append(full)
