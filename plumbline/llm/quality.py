@@ -171,5 +171,7 @@ def score(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD, text_
     stats = {f"_stat_{n}": c for n, c in statistics(F.col(text_col)).items()}
     named = RuleModel(model.intercept, [Rule(tuple((f"_stat_{s}", a, t) for s, a, t in r.terms), r.weight) for r in model.rules], model.constant)
     keep = [c for c in docs.columns if c not in own]
-    out = docs.select(*keep, *[c.alias(n) for n, c in stats.items()]).select(*keep, named.column().alias("score"))
+    # The condition always holds. It keeps a filter on the result from being moved below this step, which
+    # would compute each statistic again for every rule that uses it.
+    out = docs.select(*keep, *[c.alias(n) for n, c in stats.items()]).select(*keep, F.when(F.rand(0) >= 0, named.column()).alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int"))
