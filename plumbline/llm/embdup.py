@@ -1,14 +1,15 @@
-"""Near-duplicate vectors by a robust-pruned graph over overlapping shards and range-expanding search.
+"""Near-duplicate vectors by overlapping shards, compared whole, and a robust-pruned graph that leads on across them.
 
 1. Copies of a vector within a label are one node with a weight. Nodes go to their two nearest centroids
    (k-means per label, fitted on a bounded sample); these shards overlap. A shard beyond ``PART`` nodes is
    dealt to parts by a hash.
-2. Each part builds a graph: the nearest of each node, pruned so that a kept neighbour hides those that
-   are nearer to it than to the node. The lists of all shards are united per node.
-3. Each part searches for its shard's nodes: greedily from the medoid with a beam, then on from every node
-   in range, until no new one is met. Hits whose neighbours lie in other shards go on by Spark joins.
-4. A sample of queries of fixed size is compared with all rows; below ``RECALL`` the search runs again
-   with a wider beam.
+2. Each shard's nodes are compared with one another, part by part: no link within a shard is lost.
+3. Each part builds a graph: the nearest of each node, pruned so that a kept neighbour hides those that
+   are nearer to it than to the node. What is linked but not joined by edges in range (a group has more
+   near copies than a list has places) is joined by its nearest pairs. The lists of all shards are united
+   per node, and hits whose neighbours lie in other shards go on by Spark joins.
+4. A sample of queries of fixed size is compared with all rows; below ``RECALL``, over all links or over the
+   mean query, all nodes of a label are compared.
 5. Every link is verified in double precision on the original vectors.
 
 Only equal, non-null labels are compared. Rows with an unusable vector (null, zero, non-finite or null
@@ -31,7 +32,7 @@ from plumbline.llm.vectors import binary_rows, blobs, matrix, usable
 COSINE = 0.93
 SHARD, PART, OVERLAP = 1024, 2048, 2
 SAMPLE, MOST_CENTROIDS, AUDIT, RECALL = 40_000, 16_384, 256, 0.995
-NEAR, DEGREE, ALPHA, BEAM = 40, 14, 1.2, 12
+NEAR, DEGREE, ALPHA = 40, 14, 1.2
 SLACK = 1e-4
 
 
@@ -109,7 +110,32 @@ def pruned(x: np.ndarray, near: int = NEAR, degree: int = DEGREE, alpha: float =
     return out
 
 
-def _graph(table: pa.Table) -> pa.Table:
+def joined(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges to add to (a, b) so that one component is left: in rounds, the nearest pair of each with another."""
+    n, more_a, more_b = len(x), [], []
+    own = np.arange(n)
+    while True:
+        while True:
+            low = own.copy()
+            np.minimum.at(low, a, own[b])
+            np.minimum.at(low, b, own[a])
+            low = low[low]
+            if (low == own).all():
+                break
+            own = low
+        if not own.any():
+            return np.concatenate([np.zeros(0, np.int64), *more_a]), np.concatenate([np.zeros(0, np.int64), *more_b])
+        sim = x @ x.T
+        sim[own[:, None] == own[None]] = -np.inf
+        to = sim.argmax(1)
+        order = np.lexsort((-sim[np.arange(n), to], own))
+        first = order[np.concatenate([[True], own[order][1:] != own[order][:-1]])]
+        more_a.append(first)
+        more_b.append(to[first])
+        a, b = np.concatenate([a, first]), np.concatenate([b, to[first]])
+
+
+def _graph(table: pa.Table, reach: float) -> pa.Table:
     node = table["node"].to_numpy()
     order = np.argsort(node)
     node = node[order]
@@ -118,6 +144,9 @@ def _graph(table: pa.Table) -> pa.Table:
     a = np.repeat(np.arange(len(node)), nb.shape[1])
     b = nb.ravel()
     a, b = a[b >= 0], b[b >= 0]
+    near = np.einsum("kd,kd->k", x[a], x[b]) >= reach
+    more_a, more_b = joined(x, a[near], b[near])
+    a, b = np.concatenate([a, more_a]), np.concatenate([b, more_b])
     # Both directions, so that search can come back.
     return pa.table({"a": np.concatenate([node[a], node[b]]), "b": np.concatenate([node[b], node[a]])})
 
@@ -192,35 +221,34 @@ def _whole(column: pa.ChunkedArray) -> pa.Array:
     return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
-def _searched(members: pa.Table, queries: pa.Table, reach: float, beam: int) -> pa.Table:
-    """Hits (a, b), a < b, of one part's nodes for one part's queries."""
-    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+def _compared(members: pa.Table, queries: pa.Table, reach: float) -> pa.Table:
+    """Hits (a, b), a < b, of one part's nodes with another's: every pair is measured."""
     if not members.num_rows or not queries.num_rows:
-        return none
-    node = members["node"].to_numpy()
-    order = np.argsort(node)
-    lists = [_whole(members["nbrs"])[int(i)].values.to_numpy(zero_copy_only=False) if members["nbrs"][int(i)].is_valid else np.zeros(0, np.int64) for i in order]
-    x = blobs(_whole(members["v"]), np.float32)[order]
-    node = node[order]
-    adjacency = np.full((len(node), max(1, max(map(len, lists)))), -1)
-    for i, nb in enumerate(lists):
-        at = np.minimum(np.searchsorted(node, nb), len(node) - 1)
-        at = at[node[at] == nb]
-        adjacency[i, : len(at)] = at
-    adjacency = adjacency[:, : max(1, int((adjacency >= 0).sum(1).max()))]
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    node, x = members["node"].to_numpy(), blobs(_whole(members["v"]), np.float32)
     name, qx = queries["q"].to_numpy(), blobs(_whole(queries["qv"]), np.float32)
     out_a, out_b = [], []
-    for k in range(0, len(name), 2048):
-        q, m = search(x, adjacency, qx[k : k + 2048], reach, beam)
+    for k in range(0, len(name), 1024):
+        q, m = np.nonzero(qx[k : k + 1024] @ x.T >= reach)
         a, b = name[k + q], node[m]
-        use = a != b
+        # A part meets itself once: each pair comes from both of its nodes.
+        use = a < b if members["i"][0] == members["j"][0] else a != b
         out_a.append(np.minimum(a, b)[use])
         out_b.append(np.maximum(a, b)[use])
     return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
 
 
-def _searcher(reach: float, beam: int):
-    return lambda members, queries: _searched(members, queries, reach, beam)
+def _parts(rows: DataFrame) -> DataFrame:
+    """Rows (node, v, shard) with the number of the shard's parts and their own part."""
+    sizes = rows.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
+    return rows.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("node", F.lit(9)), F.col("parts")))
+
+
+def _within(each: DataFrame, reach: float) -> DataFrame:
+    """All pairs (a, b) in range within each shard: every part with itself and with each later one."""
+    members = each.select("shard", F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"), "node", "v")
+    queries = each.select(F.col("shard").alias("qs"), F.explode(F.sequence(F.lit(0).cast("long"), "part")).alias("qi"), F.col("part").alias("qj"), F.col("node").alias("q"), F.col("v").alias("qv"))
+    return members.groupBy("shard", "i", "j").cogroup(queries.groupBy("qs", "qi", "qj")).applyInArrow(lambda m, q: _compared(m, q, reach), "a long, b long").distinct()
 
 
 def _cosine(a: str, b: str):
@@ -239,7 +267,7 @@ def _audit(batches: Iterable[pa.RecordBatch], asked: np.ndarray, label: np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array(asked[q][use]), pa.array(node[use])], ["a", "b"])
 
 
-def links(nodes: DataFrame, reach: float = COSINE, beam: int = BEAM) -> tuple[DataFrame, float]:
+def links(nodes: DataFrame, reach: float = COSINE) -> tuple[DataFrame, float]:
     """(verified links (a, b) with a < b between nodes (node, label, vec), audited recall)."""
     spark = nodes.sparkSession
     units = store.write_table(nodes.select("node", "label", "vec").mapInArrow(_units, "node long, label long, v binary"), "units", "none").df
@@ -252,39 +280,40 @@ def links(nodes: DataFrame, reach: float = COSINE, beam: int = BEAM) -> tuple[Da
     for label, c in given.items():
         base[label], k = k, k + len(c)
     held = store.write_table(units.mapInArrow(lambda it: _assign(it, given, base), "node long, v binary, shards array<long>"), "shards", "none").df
-    each = held.select("node", "v", F.explode("shards").alias("shard"))
-    sizes = each.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
-    each = each.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("node", F.lit(9)), F.col("parts")))
-    built = each.select("shard", "part", "node", "v").groupBy("shard", "part").applyInArrow(_graph, "a long, b long")
+    each = _parts(held.select("node", "v", F.explode("shards").alias("shard")))
+    built = each.select("shard", "part", "node", "v").groupBy("shard", "part").applyInArrow(lambda t: _graph(t, reach - SLACK), "a long, b long")
     adjacency = store.write_table(built.groupBy("a").agg(F.collect_set("b").alias("nbrs")).withColumnRenamed("a", "node"), "adjacency").df
-    members = each.join(adjacency, "node", "left").select("shard", F.col("part").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("j"), "node", "v", "nbrs")
-    queries = each.select(F.col("shard").alias("qs"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("qi"), F.col("part").alias("qj"), F.col("node").alias("q"), F.col("v").alias("qv"))
-    asked = units.orderBy(F.xxhash64("node", F.lit(3)), "node").limit(AUDIT).toPandas()
+    hits = store.write_table(_within(each, reach - SLACK), "hits")
+    # On from hits to neighbours in shards that the query has not met.
+    where, fresh = held.select("node", "shards"), hits.df
     while True:
-        found = members.groupBy("shard", "i", "j").cogroup(queries.groupBy("qs", "qi", "qj")).applyInArrow(_searcher(reach - SLACK, beam), "a long, b long")
-        hits = store.write_table(found.distinct(), "hits")
-        # On from hits to neighbours in shards that the query has not searched.
-        where, fresh = held.select("node", "shards"), hits.df
-        while True:
-            both = fresh.union(fresh.select("b", "a")).toDF("q", "h")
-            on = both.join(adjacency.select(F.col("node").alias("h"), F.explode("nbrs").alias("w")), "h").select("q", "w").filter("q <> w")
-            on = on.join(where.toDF("q", "sq"), "q").join(where.toDF("w", "sw"), "w").filter(~F.arrays_overlap("sq", "sw"))
-            on = on.select(F.least("q", "w").alias("a"), F.greatest("q", "w").alias("b")).distinct().join(hits.df, ["a", "b"], "left_anti")
-            more = store.write_table(_checked(on, nodes, reach), "more")
-            if more.df.isEmpty():
-                break
-            fresh, hits = more.df, store.write_table(hits.df.unionByName(more.df), "hits")
-        if not len(asked):
-            return _checked(hits.df, nodes, reach), 1.0
-        q = np.frombuffer(b"".join(asked["v"]), np.float32).reshape(len(asked), -1)
-        known, label = asked["node"].to_numpy(np.int64), asked["label"].to_numpy(np.int64)
-        true = units.mapInArrow(lambda it: _audit(it, known, label, q, reach + SLACK), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        n = true.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-        got = true.join(hits.df, ["a", "b"], "left_semi").count() if n else 0
-        recall = got / n if n else 1.0
-        if recall >= RECALL or beam >= 8 * BEAM:
-            return _checked(hits.df, nodes, reach), recall
-        beam *= 2
+        both = fresh.union(fresh.select("b", "a")).toDF("q", "h")
+        on = both.join(adjacency.select(F.col("node").alias("h"), F.explode("nbrs").alias("w")), "h").select("q", "w").filter("q <> w")
+        on = on.join(where.toDF("q", "sq"), "q").join(where.toDF("w", "sw"), "w").filter(~F.arrays_overlap("sq", "sw"))
+        on = on.select(F.least("q", "w").alias("a"), F.greatest("q", "w").alias("b")).distinct().join(hits.df, ["a", "b"], "left_anti")
+        more = store.write_table(_checked(on, nodes, reach), "more")
+        if more.df.isEmpty():
+            break
+        fresh, hits = more.df, store.write_table(hits.df.unionByName(more.df), "hits")
+    recall = _recall(units, hits.df, reach)
+    if recall < RECALL:
+        hits = store.write_table(_within(_parts(units.select("node", "v", F.col("label").alias("shard"))), reach - SLACK), "hits")
+        recall = _recall(units, hits.df, reach)
+    return _checked(hits.df, nodes, reach), recall
+
+
+def _recall(units: DataFrame, hits: DataFrame, reach: float) -> float:
+    """The share of a sample's links that are hits, over all links or over the mean query, whichever is less."""
+    asked = units.orderBy(F.xxhash64("node", F.lit(3)), "node").limit(AUDIT).toPandas()
+    if not len(asked):
+        return 1.0
+    q = np.frombuffer(b"".join(asked["v"]), np.float32).reshape(len(asked), -1)
+    known, label = asked["node"].to_numpy(np.int64), asked["label"].to_numpy(np.int64)
+    true = units.mapInArrow(lambda it: _audit(it, known, label, q, reach + SLACK), "a long, b long")
+    true = true.select(F.col("a").alias("q"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = true.join(hits.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("got"))
+    sums = found.agg(F.sum("n").alias("n"), F.sum("got").alias("got"), F.avg(F.col("got") / F.col("n")).alias("mean")).first()
+    return min(sums["got"] / sums["n"], sums["mean"]) if sums["n"] else 1.0
 
 
 def _checked(pairs: DataFrame, nodes: DataFrame, reach: float) -> DataFrame:

@@ -52,6 +52,31 @@ def test_embedding_links_equal_brute_force(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == want
 
 
+def test_links_of_tight_groups_beyond_a_list(spark, monkeypatch):
+    monkeypatch.setattr(embdup, "PART", 512)
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for label, (groups, size) in enumerate([(10, 100), (20, 60)]):
+        x = np.repeat(rng.normal(size=(groups, 64)), size, 0) + rng.normal(size=(groups * size, 64)) * 0.02
+        for i, v in enumerate(x):
+            want[len(rows)] = (size - 1, len(rows) - i % size)
+            rows.append((len(rows), [float(c) for c in v], label, "k", 7))
+    got = embdup.near_duplicate_vectors(spark.createDataFrame(rows, VEC).repartition(3)).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
+
+
+def test_edges_join_all_components():
+    x = np.repeat(np.random.default_rng(1).normal(size=(6, 8)), 50, 0) + np.random.default_rng(2).normal(size=(300, 8)) * 0.01
+    x = (x / np.sqrt((x * x).sum(1, keepdims=True))).astype(np.float32)
+    nb = embdup.pruned(x)
+    a, b = np.repeat(np.arange(300), nb.shape[1])[nb.ravel() >= 0], nb.ravel()[nb.ravel() >= 0]
+    more = embdup.joined(x, a, b)
+    root = np.arange(300)
+    for i, j in zip(np.concatenate([a, more[0]]), np.concatenate([b, more[1]])):
+        root[root == root[i]] = root[j]
+    assert len(more[0]) >= 5 and len(set(root.tolist())) == 1
+
+
 def test_nearest_neighbours_reach_the_recall(spark):
     rows, df = vectors(spark, n=2500)
     good = usable(rows)
