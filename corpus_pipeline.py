@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from plumbline.llm import bpe, mixing, neardup, quality, store, substring
 
 
+#: Word shingles of two near copies are alike by 0.8 or more; the 85 of ``op4_minhash_neardup`` is that query's own.
+PERCENT = 80
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from the labelled ones among ``docs``."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -20,7 +24,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates; of rows that repeat an id and its text, one."""
-    found = store.write_table(neardup.near_duplicates(docs), "groups").df
+    found = store.write_table(neardup.near_duplicates(docs, percent=PERCENT), "groups").df
     kept = docs.join(found.filter(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
     again = found.filter(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if not again.isEmpty():

@@ -198,3 +198,20 @@ def test_pipeline_stages(spark):
             assert docs.count() == before.count()
             assert docs.filter(F.length("text") != F.col("n_chars")).count() == before.filter(F.length("text") != F.col("n_chars")).count()
     assert corpus_pipeline.STAGES[4][1](spark, docs, sf).count() == docs.count()
+
+
+def test_near_dedup_stage_takes_four_fifths(spark):
+    import corpus_pipeline
+    from tests.llm.test_text_operators import brute_groups
+
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(204)]
+    rows = []
+    for i, edits in enumerate([0, 2, 3, 4, 5, 6, 8]):
+        words = list(base)
+        for at in range(edits):
+            words[20 + 22 * at] = f"e{i}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(f"x{v}" for v in rng.integers(10**6, size=40)))]
+    kept = [sorted(int(i) for i, _, _, k in brute_groups(rows, p) if k) for p in (80, 85)]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+    assert kept[0] != kept[1] and sorted(r.doc_id for r in got.collect()) == kept[0]
