@@ -7,8 +7,8 @@ logistic unit says main text or not. It is trained here, on pages made by ``trai
 with known labels; weights are a few thousand numbers and go to every task.
 
 Blocks: text between block-level tags; character references are decoded, white space becomes one space,
-blocks are joined by newlines in page order. Scripts, styles, templates, comments and the head are never
-text. Null or empty html gives the empty text; html of any length is read whole. Rows repeat as they come,
+blocks are joined by newlines in page order. Scripts, styles, templates, drawings, frames, titles and
+comments are never text; a start tag of these without an end leaves what follows, but for scripts and styles. Null or empty html gives the empty text; html of any length is read whole. Rows repeat as they come,
 null ids and urls are kept, and extra columns are left out.
 """
 
@@ -28,8 +28,9 @@ from plumbline.llm.textops import span_hashes, word_spans
 PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 160, 32, 6, 16
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style template noscript head title svg iframe object math canvas".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var wbr".split())
+SKIPPED = frozenset("script style template title svg iframe canvas".split())
+RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in ("script", "style", "title", "iframe")}
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math mfrac mi mn mo mover mrow ms msqrt mstyle msub msubsup msup mtext munder munderover noscript object q ruby s samp semantics small span strike strong sub sup time tt u var wbr".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table article section div nav aside main header footer body form select blockquote".split())
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
@@ -37,13 +38,37 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]
 _SPLIT = re.compile(r"[^a-z]+")
 
 
+def _tags(page: str) -> Iterator[tuple[re.Match, str, int]]:
+    """(tag, its name in lower case, where what follows begins); past a raw text's end tag, past all of an unclosed script."""
+    at, open_ended = 0, set()
+    while m := _TAG.search(page, at):
+        at, name = m.end(), (m[2] or "").lower()
+        if name in RAW and not m[1] and not m[3].endswith("/") and name not in open_ended:
+            end = RAW[name].search(page, at)
+            if end or name in ("script", "style"):
+                at = end.end() if end else len(page)
+            else:
+                open_ended.add(name)
+        yield m, name, at
+
+
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(path tokens, text, characters inside links) of each leaf block in page order."""
     out: list[tuple[tuple[str, ...], str, int]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     path: tuple[str, ...] = ()
-    linked, links, at, skip = 0, 0, 0, ""
+    linked, links, at = 0, 0, 0
+    tags = list(_tags(page))
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for k, (m, name, _) in enumerate(tags):
+        if name in SKIPPED and name not in RAW:
+            if not m[1]:
+                if not m[3].endswith("/"):
+                    opened.setdefault(name, []).append(k)
+            elif opened.get(name):
+                ends[opened[name].pop()] = k
 
     def flush():
         nonlocal linked, parts
@@ -59,35 +84,32 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             links -= name == "a"
         del stack[k:]
 
-    for m in _TAG.finditer(page):
-        if not skip and m.start() > at:
+    skip_to = -1
+    for k, (m, name, after) in enumerate(tags):
+        if k <= skip_to:
+            at = after
+            continue
+        if m.start() > at:
             piece = page[at : m.start()]
             if not parts:
                 path = stack[-1][1] if stack else ()
             parts.append(piece)
             if links > 0:
                 linked += len(piece)
-        at = m.end()
-        name = (m[2] or "").lower()
+        at = after
         if not name:
             continue
-        if skip:
-            if m[1] and name == skip:
-                skip = ""
-            continue
         if m[1]:
             if name not in INLINE:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    pop_to(k)
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] == name:
+                    pop_to(i)
                     break
             continue
-        if name in SKIPPED:
-            if name not in INLINE:
-                flush()
-            if not m[3].endswith("/"):
-                skip = name
+        if name in SKIPPED or name == "head":
+            flush()
+            skip_to = ends.get(k, k)
             continue
         if name == "br":
             if parts:
@@ -96,15 +118,15 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if name not in INLINE:
             flush()
             if any(x[0] == "p" for x in stack[-6:]):
-                k = max(i for i, x in enumerate(stack) if x[0] == "p")
-                if not any(x[0] in SCOPES for x in stack[k:]):
-                    pop_to(k)
+                last = max(i for i, x in enumerate(stack) if x[0] == "p")
+                if not any(x[0] in SCOPES for x in stack[last:]):
+                    pop_to(last)
             for other in CLOSES.get(name, ()):
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == other:
-                        pop_to(k)
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == other:
+                        pop_to(i)
                         break
-                    if stack[k][0] in SCOPES and stack[k][0] != "tr":
+                    if stack[i][0] in SCOPES and stack[i][0] != "tr":
                         break
         if name in VOID or m[3].endswith("/"):
             continue
@@ -114,7 +136,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 tokens += [f"c:{w}" for w in _SPLIT.split((x[1] or x[2] or x[3] or "").lower()) if w]
         stack.append((name, (stack[-1][1] if stack else ()) + tuple(tokens)))
         links += name == "a"
-    if not skip and at < len(page):
+    if at < len(page):
         if not parts:
             path = stack[-1][1] if stack else ()
         parts.append(page[at:])

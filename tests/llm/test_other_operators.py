@@ -133,6 +133,16 @@ def test_main_text(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
+def test_blocks_after_scripts_heads_and_unclosed_elements():
+    text = lambda page: [b[1] for b in html_text.blocks(page)]
+    assert text("<script>for(var i=0;i<n;i++){f(i)}</script><article><p>One</p></article><script>x='</p>'</script ><p>Two") == ["One", "Two"]
+    assert text("<style>a<b{}</STYLE><p>One</p><script>if (a<b) {") == ["One"]
+    assert text("<html><head><title>t <b></title><meta charset=x><body><p>Text</p>") == ["Text"]
+    assert text("<svg><path d=''><p>One</p><iframe src=x><p>Two</p><template><template>no</template>no</template><p>Three") == ["One", "Two", "Three"]
+    assert text("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be <object data=f>a figure</object> and <noscript>plain</noscript></p>") == ["Let x=1 be a figure and plain"]
+    assert text("<p>a<svg><title>no</title><svg>no</svg>no</svg></p><canvas>no</canvas><!-- <svg> --><p>b") == ["a", "b"]
+
+
 def test_labeller_on_held_out_layouts():
     model, wrong, total = html_text.trained(), 0, 0
     for h, marks in html_text.training_pages(120, seed=77):
