@@ -23,14 +23,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; of rows that repeat an id and its text, one."""
-    found = store.write_table(neardup.near_duplicates(docs, percent=PERCENT), "groups").df
-    kept = docs.join(found.filter(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    again = found.filter(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    """One row of each group of near-duplicates, one with its smallest id; of rows that repeat an id and its text, one."""
+    keyed = docs.withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
+    groups = neardup.near_duplicates(keyed, percent=PERCENT, id_col="_row").filter(F.col("doc_id").isNotNull())
+    found = store.write_table(groups.groupBy(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")).count(), "groups").df
+    ids = keyed.filter(F.col("_row").isNotNull()).select("_row", "doc_id").distinct()
+    first = found.join(ids, "_row").groupBy("_group").agg(F.min(F.struct("doc_id", "_row"))["_row"].alias("_row")).select("_row")
+    first = store.write_table(first, "first").df
+    kept = keyed.join(found.join(first, "_row", "left_anti"), "_row", "left_anti")
+    again = found.filter("count > 1").join(first, "_row", "left_semi").select("_row")
     if not again.isEmpty():
-        one = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
-        kept = kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
-    return kept
+        one = kept.join(again, "_row", "left_semi").dropDuplicates(["_row"])
+        kept = kept.join(again, "_row", "left_anti").unionByName(one)
+    return kept.select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -225,3 +225,13 @@ def test_near_dedup_stage_takes_four_fifths(spark):
     kept = [sorted(int(i) for i, _, _, k in brute_groups(rows, p) if k) for p in (80, 85)]
     got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
     assert kept[0] != kept[1] and sorted(r.doc_id for r in got.collect()) == kept[0]
+
+
+def test_near_dedup_stage_judges_rows(spark):
+    import corpus_pipeline
+
+    text = lambda name, edit="": " ".join([f"{name}{i}" for i in range(100)] + [edit])
+    rows = [(1, text("a")), (2, text("a", "x")), (2, text("b")), (3, text("c")), (3, text("c", "y")), (4, text("d")), (4, text("d")), (None, text("a")), (5, None), (5, None), (6, "")]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
+    left = sorted(((r.doc_id, r.text[:2] if r.text else r.text) for r in got), key=repr)
+    assert left == sorted([(1, "a0"), (2, "b0"), (3, "c0"), (4, "d0"), (None, "a0"), (5, None), (6, "")], key=repr)
