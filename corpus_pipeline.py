@@ -1,11 +1,17 @@
 """Corpus preparation in five stages over ``documents``.
 
 Each stage works on all rows that its predecessor kept and, but for the last, returns the columns of
-``documents``. A stage's rows are written as Parquet and read again by the next one.
+``documents``. A stage's rows are written as Parquet and read again by the next one, so a stage begins by
+dropping the tables that the stages before it left.
+
+Null texts count as empty, null ids are kept, ties fall by a hash, repeated rows follow each stage's own rule
+below, and an empty table passes through as one. Columns beyond those of ``documents`` are carried along.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +22,36 @@ from plumbline.llm import bpe, mixing, neardup, quality, store, substring
 PERCENT = 80
 
 
+_left: list[store.Table] = []
+
+
+def _stage(work):
+    """A stage whose own tables stay until the next one begins."""
+
+    @functools.wraps(work)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _left:
+            _left.pop().drop()
+        with store.scope() as own:
+            out = work(spark, docs, sf_dir)
+            _left.extend(own)
+            own.clear()
+        return out
+
+    return run
+
+
+@_stage
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it learns from the labelled ones among ``docs``."""
+    """Documents that the quality classifier accepts; it learns from the labelled ones among ``docs``.
+
+    A null or empty text is scored like any other. Without labels of both classes all scores are alike.
+    """
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, model).filter("predicted = 1").select(*docs.columns)
 
 
+@_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates, one with its smallest id; of rows that repeat an id and its text, one."""
     keyed = docs.withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
@@ -38,6 +68,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return kept.select(*docs.columns)
 
 
+@_stage
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without its repeated passages; texts without any stay as they are."""
     out = substring.remove_repeats(docs)
@@ -46,11 +77,13 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return out.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as it is taken."""
-    return mixing.emit(mixing.mix(docs), docs.columns)
+    """The mix: each document as often as it is taken. Rows without words are taken like others of their size."""
+    return mixing.emit(mixing.mix(docs, taken_only=True), docs.columns)
 
 
+@_stage
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded bytes."""
     import public_tokenizers
@@ -72,9 +105,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = store.write_table(docs, f"stage{k}").df
+            table = store.write_table(docs, f"stage{k}")
+            if before is not None:
+                before.drop()
+            docs, before = table.df, table
     return docs

@@ -27,7 +27,7 @@ from plumbline.llm import packed, store
 from plumbline.llm.textops import span_hashes, text_blocks
 
 LETTER, NUMBER, OTHER, SPACE = 1, 2, 3, 4
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 12 << 20
 _cache: dict = {}
 
 
@@ -149,46 +149,41 @@ def decode_ids(ids: np.ndarray, raw: bytes) -> bytes:
     return gather(data, starts[ids], sizes[ids]).tobytes()
 
 
-def _planes(values: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
-
-
-def _unplanes(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).reshape(-1).view("<u4")
-
-
-CHUNKS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("codes", pa.binary()), ("cell_codes", pa.binary()), ("words", pa.binary()), ("sizes", pa.binary())])
-CHUNKS_DDL = "chunk long, bucket int, doc_ids array<long>, counts array<long>, codes binary, cell_codes binary, words binary, sizes binary"
-CHUNK_DDL = "chunk long, doc_ids array<long>, counts array<long>, codes binary"
+CHUNKS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("codes", pa.binary()), ("numbers", pa.binary()), ("words", pa.binary()), ("sizes", pa.binary())])
+CHUNKS_DDL = "chunk long, bucket int, doc_ids array<long>, counts array<long>, codes binary, numbers binary, words binary, sizes binary"
 
 
 def _split(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Chunks: a row with the texts as sequences of word numbers, and a row per bucket with the distinct words."""
+    """Chunks: a row with the texts as sequences of word numbers, and a row per bucket with the distinct words.
+
+    Words stand in the order of their hashes, over all buckets; ``numbers`` has the number of each.
+    """
     ids = store.chunk_counter()
     for rows, data, offsets in text_blocks(batches, max_bytes=CHUNK_BYTES):
         chunk = next(ids)
         starts = pretoken_starts(data, offsets)
+        counts = np.diff(np.searchsorted(starts, offsets))
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
         hashes = span_hashes(data, starts, ends)
-        _, first, code, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        known, first, code, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        del hashes
         # Frequent words get small numbers, which pack well.
-        order = np.argsort(-count, kind="stable")
-        number = np.empty(len(order), np.uint32)
-        number[order] = np.arange(len(order), dtype=np.uint32)
-        counts = np.diff(np.searchsorted(starts, offsets))
+        number = np.empty(len(count), np.uint32)
+        number[np.argsort(-count, kind="stable")] = np.arange(len(count), dtype=np.uint32)
+        code = number[code]
         out: dict[str, list] = {x: [] for x in CHUNKS.names}
 
         def row(**x):
             for k in CHUNKS.names:
                 out[k].append(x.get(k))
 
-        row(chunk=chunk, bucket=-1, doc_ids=rows.column(0).cast(pa.int64()).to_pylist(), counts=counts, codes=_planes(number[code]))
+        row(chunk=chunk, bucket=-1, doc_ids=rows.column(0).cast(pa.int64()).to_pylist(), counts=counts, codes=packed.planes(code), numbers=packed.planes(number))
         s, z = starts[first], ends[first] - starts[first]
-        edges = packed.cuts(hashes[first], bits)
+        del starts, ends, code, first
+        edges = packed.cuts(known, bits)
         for b in np.flatnonzero(np.diff(edges)):
             i, j = edges[b], edges[b + 1]
-            row(chunk=chunk, bucket=int(b), cell_codes=_planes(number[i:j]), words=zstandard.compress(gather(data, s[i:j], z[i:j]).tobytes(), 3), sizes=_planes(z[i:j]))
+            row(chunk=chunk, bucket=int(b), words=zstandard.compress(gather(data, s[i:j], z[i:j]).tobytes(), 3), sizes=packed.planes(z[i:j]))
         yield pa.RecordBatch.from_pydict(out, CHUNKS)
 
 
@@ -200,7 +195,7 @@ def _encode_bucket(table: pa.Table, raw: bytes, pattern: str) -> pa.Table:
     ends: list[int] = [0]
     cells = []
     for words, sizes in zip(table["words"].to_pylist(), table["sizes"].to_pylist()):
-        text, z = zstandard.decompress(words), _unplanes(sizes)
+        text, z = zstandard.decompress(words), packed.unplanes(sizes)
         e = np.cumsum(z, dtype=np.int64).tolist()
         at, a = np.empty(len(e), np.int64), 0
         for k, b in enumerate(e):
@@ -218,25 +213,25 @@ def _encode_bucket(table: pa.Table, raw: bytes, pattern: str) -> pa.Table:
     out_ids, out_sizes = [], []
     for at in cells:
         size = edge[at + 1] - edge[at]
-        out_ids.append(_planes(gather(ids, edge[at], size)))
-        out_sizes.append(_planes(size))
-    return pa.table({"chunk": table["chunk"], "cell_codes": table["cell_codes"], "ids": pa.array(out_ids, pa.binary()), "sizes": pa.array(out_sizes, pa.binary())})
+        out_ids.append(packed.planes(gather(ids, edge[at], size)))
+        out_sizes.append(packed.planes(size))
+    return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "ids": pa.array(out_ids, pa.binary()), "sizes": pa.array(out_sizes, pa.binary())})
 
 
 def _assemble(batches: Iterable[pa.RecordBatch], raw: bytes | None, emit) -> Iterator[pa.RecordBatch]:
     """Texts of each chunk by position: ids of every word in turn."""
     for batch in batches:
         for i in range(batch.num_rows):
-            row = {k: batch.column(k)[i].as_py() for k in ("doc_ids", "counts", "codes", "cells")}
-            codes = _unplanes(row["codes"])
-            n = int(codes.max()) + 1 if len(codes) else 0
-            size, start, parts, at = np.zeros(n, np.int64), np.zeros(n, np.int64), [], 0
-            for cell in row["cells"] or ():
-                number, z, ids = _unplanes(cell["cell_codes"]), _unplanes(cell["sizes"]).astype(np.int64), _unplanes(cell["ids"])
-                size[number], start[number] = z, at + np.cumsum(z) - z
-                parts.append(ids)
-                at += len(ids)
-            ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+            row = {k: batch.column(k)[i].as_py() for k in ("doc_ids", "counts", "codes", "numbers", "cells")}
+            codes, number = packed.unplanes(row["codes"]), packed.unplanes(row["numbers"])
+            cells = row["cells"] or ()
+            none = np.zeros(0, np.uint32)
+            z = np.concatenate([none, *(packed.unplanes(x["sizes"]) for x in cells)]).astype(np.int64)
+            ids = np.concatenate([none, *(packed.unplanes(x["ids"]) for x in cells)])
+            if len(z) != len(number):
+                raise RuntimeError(f"{len(z)} of a chunk's {len(number)} words came back")
+            size, start = np.empty(len(z), np.int64), np.empty(len(z), np.int64)
+            size[number], start[number] = z, np.cumsum(z) - z
             edges = np.concatenate([[0], np.cumsum(np.array(row["counts"], np.int64))])
             a = 0
             while a < len(row["doc_ids"]):
@@ -266,18 +261,23 @@ def _id_rows(doc_ids: list, flat: np.ndarray, edges: np.ndarray, raw: bytes | No
 
 
 def _encoded(docs: DataFrame, rank_path: str, pattern: str, id_col: str, text_col: str, emit, ddl: str) -> DataFrame:
+    import public_tokenizers
+
+    if pattern != public_tokenizers.PATTERN:
+        raise ValueError("pre-tokens are cut by the rules of public_tokenizers.PATTERN; no other pattern is supported")
     spark = docs.sparkSession
     raw = spark.sparkContext.broadcast(load_ranks(rank_path))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = store.text_bytes(docs)
     bits = packed.bucket_bits(total, 8 << 20)
-    parts = max(16, total // CHUNK_BYTES)
-    chunks = store.write_bucketed(docs.mapInArrow(lambda it: _split(it, bits), CHUNKS_DDL), "bpe", "chunk", int(min(parts, 20_000))).df
-    cells = chunks.filter("bucket >= 0").select("chunk", "bucket", "cell_codes", "words", "sizes")
-    ids = cells.groupBy("bucket").applyInArrow(lambda t: _encode_bucket(t, raw.value, pattern), "chunk long, cell_codes binary, ids binary, sizes binary")
-    back = ids.groupBy("chunk").agg(F.collect_list(F.struct("cell_codes", "ids", "sizes")).alias("cells"))
-    whole = chunks.filter("bucket < 0").select("chunk", "doc_ids", "counts", "codes").hint("merge").join(back.hint("merge"), "chunk", "left")
-    return whole.select("doc_ids", "counts", "codes", "cells").mapInArrow(lambda it: _assemble(it, raw.value, emit), ddl)
+    parts = int(min(20_000, max(16, total // CHUNK_BYTES)))
+    chunks = store.write_bucketed(docs.mapInArrow(lambda it: _split(it, bits), CHUNKS_DDL), "bpe", "chunk", parts).df
+    cells = chunks.filter("bucket >= 0").select("chunk", "bucket", "words", "sizes")
+    ids = cells.groupBy("bucket").applyInArrow(lambda t: _encode_bucket(t, raw.value, pattern), "chunk long, bucket int, ids binary, sizes binary")
+    # As many partitions as the chunks have buckets, so that the chunks stay where they are.
+    back = ids.repartition(parts, "chunk").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "ids", "sizes"))).alias("cells"))
+    whole = chunks.filter("bucket < 0").select("chunk", "doc_ids", "counts", "codes", "numbers").hint("merge").join(back.hint("merge"), "chunk", "left")
+    return whole.select("doc_ids", "counts", "codes", "numbers", "cells").mapInArrow(lambda it: _assemble(it, raw.value, emit), ddl)
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -16,7 +16,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     ids are hashed for the order, so a chain shrinks by a constant share. Rounds are written tables.
     No links give an empty result; a node linked with itself only is its own root.
     """
-    spark = links.sparkSession
+    with store.scope():
+        return _components(links, a, b)
+
+
+def _components(links: DataFrame, a: str, b: str) -> DataFrame:
     key = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
     edges = store.write_table(links.select(F.col(a).alias("u"), F.col(b).alias("v")).distinct(), "edges")
     nodes = edges.df.select(F.col("u").alias("node")).union(edges.df.select("v")).distinct()
@@ -28,14 +32,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         steps.append(step)
         to = step.df
         e = edges.df.join(to.withColumnRenamed("to", "cu"), "u").join(to.select(F.col("u").alias("v"), F.col("to").alias("cv")), "v")
-        old, edges = edges, store.write_table(e.filter("cu <> cv").select(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).distinct(), "edges")
-        if len(steps) > 1:
-            old.drop()
+        edges = store.write_table(e.filter("cu <> cv").select(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).distinct(), "edges")
     out = nodes.withColumn("root", F.col("node"))
     for step in steps:
         to = step.df.select(F.col("u").alias("_from"), F.col("to").alias("_to"))
         out = out.join(to, out["root"] == to["_from"], "left").select("node", F.coalesce("_to", "root").alias("root"))
-    return store.write_table(out, "components").df
+    return store.write_table(out, "components").keep().df
 
 
 def bitmap(values: DataFrame, column: str, bits: int = 24) -> np.ndarray:

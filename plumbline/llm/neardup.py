@@ -31,7 +31,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import graph, packed, store
-from plumbline.llm.bpe import _planes, _unplanes
 from plumbline.llm.textops import LOWER, mix, span_hashes, text_blocks, window_hashes, word_spans
 
 WIDTH = 5
@@ -124,7 +123,7 @@ def _cells(batches: Iterable[pa.RecordBatch], bits: int, percent: int, hot: np.n
         for b in np.flatnonzero(np.diff(cut)):
             i, j = cut[b], cut[b + 1]
             own, which = np.unique(text[i:j], return_inverse=True)
-            row(chunk=chunk, bucket=int(b), nodes=nodes[own].view(np.int64), sizes=sizes[own], hots=hots[own], values=packed.pack(value[i:j]), which=_planes(which), ranks=_planes(rank[i:j]))
+            row(chunk=chunk, bucket=int(b), nodes=nodes[own].view(np.int64), sizes=sizes[own], hots=hots[own], values=packed.pack(value[i:j]), which=packed.planes(which), ranks=packed.planes(rank[i:j]))
         yield pa.RecordBatch.from_pydict(out, CELLS)
 
 
@@ -135,8 +134,8 @@ def _lists(table: pa.Table) -> tuple[np.ndarray, ...]:
     """
     parts = []
     for v, w, r, nodes, sizes, hots in zip(*(table[c].to_pylist() for c in ("values", "which", "ranks", "nodes", "sizes", "hots"))):
-        w = _unplanes(w)
-        parts.append((packed.unpack(v), np.array(nodes, np.int64)[w], np.array(sizes, np.int64)[w], np.array(hots, np.int64)[w], _unplanes(r).astype(np.int64)))
+        w = packed.unplanes(w)
+        parts.append((packed.unpack(v), np.array(nodes, np.int64)[w], np.array(sizes, np.int64)[w], np.array(hots, np.int64)[w], packed.unplanes(r).astype(np.int64)))
     value, node, size, hot, rank = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((node, size - hot, value))
     value, node, size, hot, rank = value[order], node[order], size[order], hot[order], rank[order]
@@ -249,7 +248,12 @@ def _verify(batches: Iterable[pa.RecordBatch], percent: int, width: int) -> Iter
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets reach the threshold."""
+    """The pairs (a, b) of nodes whose full sets reach the threshold, written."""
+    with store.scope():
+        return store.write_table(_checked(docs, pairs, percent, width), "links").keep().df
+
+
+def _checked(docs: DataFrame, pairs: DataFrame, percent: int, width: int) -> DataFrame:
     spark = docs.sparkSession
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = spark.sparkContext.broadcast(graph.bitmap(nodes.mapInArrow(_mixed, "node long"), "node"))
@@ -270,6 +274,11 @@ def _mixed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``."""
+    with store.scope():
+        return _near_duplicates(docs, percent, width, id_col, text_col)
+
+
+def _near_duplicates(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     bits = packed.bucket_bits(store.text_bytes(docs), LIST_BYTES, least=6)
@@ -292,7 +301,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     hubs = store.write_table(lists.groupBy("bucket").applyInArrow(lambda t: _hubs(t, percent), "bucket int, a long, b long, shared long"), "hubs").df
     total = hubs.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     best = total.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    first = store.write_table(_verified(docs, store.write_table(best, "pairs").df, percent, width), "links").df
+    first = _verified(docs, store.write_table(best, "pairs").df, percent, width)
     roots = graph.components(first)
     met = hubs.select("bucket", F.col("a").alias("node")).union(hubs.select("bucket", "b")).distinct().join(roots, "node")
     across = lists.groupBy("bucket").cogroup(met.select("bucket", "node", "root").groupBy("bucket")).applyInArrow(lambda x, y: _summed(_across(x, y, percent) if x.num_rows else ()), "a long, b long, na long, nb long, ra long, rb long, shared long")
@@ -301,13 +310,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     rest = store.write_table(seen.filter(can * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select("a", "b"), "pairs").df
     if not rest.isEmpty():
         links = first.unionByName(_verified(docs, rest, percent, width))
-        roots = graph.components(store.write_table(links, "links").df)
+        roots = graph.components(links)
     rows = table.df.filter("bucket < 0").select(F.explode(F.arrays_zip("ids", "sizes", "nodes")).alias("x")).select(F.col("x.ids").alias("doc_id"), F.col("x.sizes").alias("n_shingles"), F.col("x.nodes").alias("node"))
     rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     least = rows.filter(linked).groupBy("root").agg(F.min("doc_id").alias("least"))
     out = rows.join(least, "root", "left").withColumn("component_id", F.when(linked, F.col("least")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return store.write_table(out, "neardup").keep().df
 
 
 def _summed(batches: Iterable[pa.RecordBatch]) -> pa.Table:

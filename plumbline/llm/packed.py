@@ -7,6 +7,7 @@ fewer bytes than hashes, and one row carries thousands of them.
 from __future__ import annotations
 
 import numpy as np
+import zstandard
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -44,3 +45,21 @@ def cuts(values: np.ndarray, bits: int) -> np.ndarray:
 def bucket_bits(total: float, per_bucket: float, least: int = 3, most: int = 24) -> int:
     """Leading bits so that a bucket holds about ``per_bucket`` of ``total`` items."""
     return min(most, max(least, int(np.ceil(np.log2(max(1.0, total / per_bucket))))))
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Compressed byte planes of non-negative whole numbers, as many planes as the largest value needs."""
+    values = np.asarray(values)
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    kind = "<u4" if width <= 4 else "<u8"
+    raw = values.astype(kind, copy=False).view(np.uint8).reshape(len(values), -1)
+    return bytes([width]) + zstandard.compress(np.ascontiguousarray(raw[:, :width].T).tobytes(), 3)
+
+
+def unplanes(blob: bytes) -> np.ndarray:
+    """The values of ``planes`` as uint32, or uint64 where they need more."""
+    width = blob[0]
+    raw = np.frombuffer(zstandard.decompress(memoryview(blob)[1:]), np.uint8).reshape(width, -1)
+    wide = np.zeros((raw.shape[1], 4 if width <= 4 else 8), np.uint8)
+    wide[:, :width] = raw.T
+    return wide.reshape(-1).view("<u4" if width <= 4 else "<u8")

@@ -26,24 +26,49 @@ THRESHOLD = 0.7
 HELD_OUT_OF, HELD_OUT = 4, 2
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a text column by name."""
+#: What is counted in a text, by name. Each is one scan of the text; statistics are ratios of these.
+COUNTS = {
+    "words": r"[^\x20\x09-\x0D]+",
+    "upper": r"\p{Lu}",
+    "symbols": r"[^\p{L}\p{N}\x20\x09-\x0D.,;:!?'\"()-]",
+    "shouts": r"!",
+    "stops": r"[.,;:?]",
+    "digits": r"[0-9]",
+    "repeats": r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+(?=\1(?![^\x20\x09-\x0D]))",
+    "lines": r"\n",
+    "sentences": r"[.?!][\x20\x09-\x0D]+\p{Lu}",
+    "marked": r"[\p{L}\p{N}][.,;:!?]*[^\p{L}\p{N}\x20\x09-\x0D.,;:!?'\"()-]{2,}(?![^\x20\x09-\x0D])",
+}
+
+
+def counts(text: Column) -> Column:
+    """A record with the code points of a text and all ``COUNTS`` in it; null counts as empty."""
     t = F.coalesce(text, F.lit(""))
-    chars = F.greatest(F.length(t), F.lit(1)).cast("double")
-    count = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("double")
-    words = F.greatest(count(r"[^\x20\x09-\x0D]+"), F.lit(1.0))
+    return F.struct(F.length(t).cast("double").alias("chars"), *[F.regexp_count(t, F.lit(p)).cast("double").alias(n) for n, p in COUNTS.items()])
+
+
+def ratios(of: Column) -> dict[str, Column]:
+    """Statistics by name from a record of ``counts``."""
+    chars, words = F.greatest(of["chars"], F.lit(1.0)), F.greatest(of["words"], F.lit(1.0))
     return {
-        "word_length": F.length(t) / words,
-        "upper_share": count(r"\p{Lu}") / chars,
-        "symbol_share": count(r"[^\p{L}\p{N}\x20\x09-\x0D.,;:!?'\"()-]") / words,
-        "shout_share": count(r"!") / words,
-        "stop_share": count(r"[.,;:?]") / words,
-        "digit_share": count(r"[0-9]") / chars,
-        "repeat_share": count(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+(?=\1(?![^\x20\x09-\x0D]))") / words,
-        "line_share": count(r"\n") / words,
+        "word_length": of["chars"] / words,
+        "upper_share": of["upper"] / chars,
+        "symbol_share": of["symbols"] / words,
+        "shout_share": of["shouts"] / words,
+        "stop_share": of["stops"] / words,
+        "digit_share": of["digits"] / chars,
+        "repeat_share": of["repeats"] / words,
+        "line_share": of["lines"] / words,
+        "sentence_share": of["sentences"] / words,
+        "marked_share": of["marked"] / words,
     }
 
 
+def statistics(text: Column) -> dict[str, Column]:
+    """Statistics of a text column by name, as plain expressions."""
+    return ratios(counts(text))
+
+
 @dataclass(frozen=True)
 class Rule:
     """A conjunction of (statistic, is above, threshold) with its weight."""
@@ -85,12 +110,13 @@ def _tree_rules(x: np.ndarray, names: list[str], y: np.ndarray, trees: int, dept
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
     code = [np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)]
     z, paths = np.full(len(y), math.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9))), {}
-    least = max(5, len(y) // 400)
+    least = max(3, len(y) // 1000)
     rng = np.random.Generator(np.random.PCG64(7))
     for _ in range(trees):
         p = 1 / (1 + np.exp(-z))
         g, h = y - p, np.maximum(p * (1 - p), 1e-6)
-        use = rng.random(len(y)) < 0.7
+        # Each tree sees part of the rows and statistics, so that signs which few rows show get rules as well.
+        use, seen = rng.random(len(y)) < 0.7, rng.random(len(cuts)) < 0.5
         nodes = [((), np.ones(len(y), bool))]
         for _ in range(depth):
             after = []
@@ -98,7 +124,7 @@ def _tree_rules(x: np.ndarray, names: list[str], y: np.ndarray, trees: int, dept
                 best = (1e-9, None, None)
                 own = rows & use
                 for j, c in enumerate(cuts):
-                    if not len(c):
+                    if not len(c) or not seen[j]:
                         continue
                     k = code[j][own]
                     n, a, b = (np.cumsum(np.bincount(k, w, len(c) + 1)) for w in (None, g[own], h[own]))
@@ -136,7 +162,7 @@ def _lasso_logistic(r: np.ndarray, y: np.ndarray, penalty: float, steps: int) ->
     return w, b
 
 
-def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 24, depth: int = 2, bins: int = 48, penalty: float = 2e-3, steps: int = 600) -> RuleModel:
+def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 80, depth: int = 2, bins: int = 48, penalty: float = 1e-3, steps: int = 800) -> RuleModel:
     """Fit on statistics ``x`` and labels ``y`` in memory."""
     if not len(y) or y.min() == y.max():
         return RuleModel(constant=float(y.mean()) if len(y) else 1.0)
@@ -158,20 +184,25 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_c
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_y"))
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
-    stats = statistics(F.col("_t"))
     rows = docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_t")).join(F.broadcast(sample), F.col("_d") == F.col("_id"))
-    rows = rows.select("_id", "_y", F.col("_t")).select("_id", "_y", *[c.alias(n) for n, c in stats.items()]).toPandas()
+    rows = rows.select("_id", "_y", counts(F.col("_t")).alias("_n"))
+    stats = ratios(F.col("_n"))
+    rows = rows.select("_id", "_y", *[c.alias(n) for n, c in stats.items()]).toPandas()
     rows = rows.sort_values(["_id", *stats], kind="stable")
     return fit_rules(rows[list(stats)].to_numpy(float), rows["_y"].to_numpy(float), list(stats))
 
 
 def score(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """``docs`` with score (0 to 1) and predicted (1 from ``threshold`` on)."""
-    own = ("score", "predicted")
-    stats = {f"_stat_{n}": c for n, c in statistics(F.col(text_col)).items()}
-    named = RuleModel(model.intercept, [Rule(tuple((f"_stat_{s}", a, t) for s, a, t in r.terms), r.weight) for r in model.rules], model.constant)
+    """``docs`` with score (0 to 1) and predicted (1 from ``threshold`` on).
+
+    Each text is counted once. The record of counts passes through a generator, which the optimizer moves
+    no filter below: a filter on the result can't write the counts' expressions into every rule that uses them.
+    """
+    own = ("score", "predicted", "_counts", "_stats")
     keep = [c for c in docs.columns if c not in own]
-    # The condition always holds. It keeps a filter on the result from being moved below this step, which
-    # would compute each statistic again for every rule that uses it.
-    out = docs.select(*keep, *[c.alias(n) for n, c in stats.items()]).select(*keep, F.when(F.rand(0) >= 0, named.column()).alias("score"))
+    counted = docs.select(*keep, counts(F.col(text_col)).alias("_counts"))
+    held = counted.select(*keep, F.explode(F.array("_counts")).alias("_counts"))
+    stats = held.select(*keep, F.struct(*[c.alias(n) for n, c in ratios(F.col("_counts")).items()]).alias("_stats"))
+    named = RuleModel(model.intercept, [Rule(tuple((f"_stats.{s}", a, t) for s, a, t in r.terms), r.weight) for r in model.rules], model.constant)
+    out = stats.select(*keep, named.column().alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int"))

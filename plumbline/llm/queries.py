@@ -42,8 +42,7 @@ def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count("text").alias("size"))
-    return mixing.mix(docs, size="size").select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+    return mixing.mix_sizes(_table(spark, sf_dir, "documents"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
