@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import packed, store
-from plumbline.llm.textops import span_hashes, text_blocks
+from plumbline.llm.textops import give_back, span_hashes, text_blocks
 
 LETTER, NUMBER, OTHER, SPACE = 1, 2, 3, 4
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 _cache: dict = {}
 
 
@@ -189,6 +189,7 @@ def _split(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBa
 
 def _encode_bucket(table: pa.Table, raw: bytes, pattern: str) -> pa.Table:
     """Encode each distinct word of a bucket once; give every chunk the ids of its words."""
+    give_back()
     bpe = _encoder(raw, pattern)
     known: dict[bytes, int] = {}
     flat: list[int] = []
@@ -241,6 +242,7 @@ def _assemble(batches: Iterable[pa.RecordBatch], raw: bytes | None, emit) -> Ite
                 per = np.concatenate([[0], np.cumsum(size[part])])[edges[a : b + 1] - edges[a]]
                 yield emit(row["doc_ids"][a:b], flat, per, raw)
                 a = b
+            give_back()
 
 
 def _digests(doc_ids: list, flat: np.ndarray, edges: np.ndarray, raw: bytes) -> pa.RecordBatch:

@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import graph, packed, store
-from plumbline.llm.textops import LOWER, mix, span_hashes, text_blocks, window_hashes, word_spans
+from plumbline.llm.textops import LOWER, give_back, mix, span_hashes, text_blocks, window_hashes, word_spans
 
 WIDTH = 5
 PERCENT = 85
 HOT = 64
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 LIST_BYTES = 8 << 20  # text whose retained values one bucket holds
 CELLS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("hots", pa.list_(pa.int64())), ("nodes", pa.list_(pa.int64())), ("values", pa.binary()), ("which", pa.binary()), ("ranks", pa.binary())])
 CELLS_DDL = "chunk long, bucket int, ids array<long>, sizes array<long>, hots array<long>, nodes array<long>, values binary, which binary, ranks binary"
@@ -151,6 +151,7 @@ def _bounds(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hot_values(table: pa.Table) -> pa.Table:
+    give_back()
     value, *_ = _lists(table)
     start, length = _bounds(value)
     return pa.table({"value": value[start[length > HOT]].view(np.int64)})
@@ -163,6 +164,7 @@ def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
 
 def _hubs(table: pa.Table, percent: int) -> pa.Table:
     """Pairs of each list's first node with the others, and the number of lists."""
+    give_back()
     value, node, size, _, _ = _lists(table)
     start, length = _bounds(value)
     hub = np.repeat(start, length)

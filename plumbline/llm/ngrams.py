@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import packed, store
-from plumbline.llm.textops import LOWER, span_hashes, text_blocks, window_hashes, word_spans
+from plumbline.llm.textops import LOWER, give_back, span_hashes, text_blocks, window_hashes, word_spans
 
 ORDER, BACKOFF = 3, 0.4
 # An n-gram meets one of 10**12 others in its hash with probability 2**-16; its count then holds both.
@@ -108,6 +108,7 @@ def _words(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _totals(table: pa.Table) -> pa.Table:
     """Counts over all chunks of the n-grams that each chunk has."""
+    give_back()
     cells = [packed.unpack(x) for x in table["values"].to_pylist()]
     edges = np.cumsum([0, *map(len, cells)])
     known, which = _distinct(np.concatenate(cells))
@@ -156,6 +157,7 @@ def _score(batches: Iterable[pa.RecordBatch], order: int, backoff: float, corpus
             # Where the text itself has fewer words before, nothing was dropped.
             s -= np.maximum(order - 1 - place, 0) * np.log(backoff)
             mean = np.bincount(doc, s, len(counts)) / np.maximum(counts, 1)
+            give_back()
             yield pa.RecordBatch.from_arrays([pa.array(batch.column("ids")[i].as_py(), pa.int64()), pa.array(counts), pa.array(mean, mask=counts == 0)], ["doc_id", "n_words", "score"])
 
 

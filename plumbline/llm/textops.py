@@ -7,10 +7,12 @@ random 64-bit value per byte, taken from one running sum (wrapping modulo 2**64)
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 BYTE_VALUE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -20,10 +22,24 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C17 & ~3 | 3
 _WORD_BASE = 0xD6E8FEB86659FD93 & ~3 | 3
-_SEGMENT = 1 << 20
+_SEGMENT = (1 << 17) - 64
 _pow: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+if TaskContext.get() is not None:
+    pa.set_memory_pool(pa.system_memory_pool())
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """In a Python worker, return freed memory to the system, where the C library can.
+
+    Workers live on between tasks; what the allocator keeps for later counts against the executor.
+    """
+    if _trim is not None and TaskContext.get() is not None:
+        _trim(0)
+
+
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n at least."""
     if base not in _pow or len(_pow[base][0]) < n:
@@ -64,6 +80,7 @@ def text_blocks(batches: Iterable[pa.RecordBatch], text: str = "text", max_bytes
             b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + max_bytes, "right")) - 1)
             yield batch.slice(a, b - a), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             a = b
+            give_back()
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
