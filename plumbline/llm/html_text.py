@@ -7,7 +7,7 @@ logistic unit says main text or not. It is trained here, on pages made by ``trai
 with known labels; weights are a few thousand numbers and go to every task.
 
 Blocks: text between block-level tags; character references are decoded, white space becomes one space,
-blocks are joined by newlines in page order. Scripts, styles, templates, drawings, frames, titles and
+blocks are joined by two newlines in page order. Scripts, styles, templates, drawings, frames, titles and
 comments are never text; a start tag of these without an end leaves what follows, but for scripts and styles. Null or empty html gives the empty text; html of any length is read whole. Rows repeat as they come,
 null ids and urls are kept, and extra columns are left out.
 """
@@ -384,7 +384,7 @@ def extract(pages: list[str | None], model: Labeller, cells: int = 24_000) -> li
         some = [got[i] for i in order[a:b]]
         p = model.predict(*padded(vectors(some), np.array([len(x) for x in some])))
         for row, i in enumerate(order[a:b]):
-            out[i] = "\n".join(x[1] for x, q in zip(got[i], p[row]) if q >= 0.5)
+            out[i] = "\n\n".join(x[1] for x, q in zip(got[i], p[row]) if q >= 0.5)
         a = b
     return out
 

@@ -128,7 +128,7 @@ def test_main_text(spark):
     page = '<html><head><title>T</title><script>x("<p>no</p>")</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><!-- <p>gone</p> --><div class="ad">Buy now</div><article><h1>Big &amp; small</h1><p>First   block\n of <i>text</i>, long enough &lt;ok&gt;.</p><p><b>Second block.<br><p>Third &eacute; one, with words in it.</p></article><div class="comments"><p>I like it</p></div><footer>&copy; me</footer></body></html>'
     df = spark.createDataFrame([(1, "u", page, 3), (2, None, None, 3), (3, "u", "", 3), (None, "u", page, 3), (4, "u", "<nav>" + "<a href=x>m</a>" * 50, 3)], "page_id long, url string, html string, n_chars int")
     got = {(r.page_id, r.url): r for r in html_text.main_text(df).collect()}
-    assert got[(1, "u")].text == "Big & small\nFirst block of text, long enough <ok>.\nSecond block.\nThird é one, with words in it."
+    assert got[(1, "u")].text == "Big & small\n\nFirst block of text, long enough <ok>.\n\nSecond block.\n\nThird é one, with words in it."
     assert got[(None, "u")].text == got[(1, "u")].text and got[(1, "u")].n_chars == len(got[(1, "u")].text)
     assert got[(2, None)].text == "" and got[(3, "u")].n_chars == 0 and got[(4, "u")].text == ""
     assert html_text.main_text(df.limit(0)).count() == 0
@@ -161,7 +161,18 @@ def test_main_text_of_the_tables_pages(spark):
     for r in got.collect():
         inner = re.search(r"<article>(.*)</article>", pages[r.page_id], re.S)[1]
         parts = [" ".join(html.unescape(x).split()) for x in re.split(r"<[^>]*>", inner)]
-        assert r.text == "\n".join(x for x in parts if x)
+        assert r.text == "\n\n".join(x for x in parts if x) and r.n_chars == len(r.text)
+
+
+def test_main_text_of_long_and_repeated_pages_with_clashing_names(spark):
+    row = "<p>Words of the article number {}, long enough to be read &amp; kept whole.</p>"
+    long = "<body><nav><a href=x>Home</a></nav><article>" + "".join(row.format(i) for i in range(3000)) + "</article><footer>&copy; me</footer>"
+    rows = [(1, "u", long, "t", 5), (1, "u", long, "t", 5), (2, "u", "<article><p>Open <b>mark & no end", "t", None), (3, None, "\x00<<<>>&#x0;&bogus;</p></div>", None, None)]
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")).orderBy("page_id").collect()
+    assert [r.page_id for r in got] == [1, 1, 2, 3] and got[0] == got[1]
+    blocks = got[0].text.split("\n\n")
+    assert blocks == [f"Words of the article number {i}, long enough to be read & kept whole." for i in range(3000)]
+    assert got[2].text == "Open mark & no end" and all(r.n_chars == len(r.text) for r in got)
 
 
 def test_gradients():
