@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.constants import CHUNK_STRIDE, CHUNK_WORDS, STOP_WORDS, TOP_PASSAGES
 
 KEYWORD = r"[A-Za-z][A-Za-z\-]{2,}"
-TERM = r"[\w\-]{2,}"
+TERM = r"[\p{L}\p{N}_\-]{2,}"
 # Patterns of facts in papers.
 DOI = r"\b(10\.\d{4,9}/[-._;()/:A-Za-z0-9]+[A-Za-z0-9])"
 YEARS = r"\b((?:19|20)\d{2})\s*(?:-|–|to|through|until)\s*((?:19|20)\d{2})\b"
@@ -48,9 +48,9 @@ def quantities(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(QUANTITY), F.lit(0))).alias("quantity"))
 
 
-def tfidf(docs: DataFrame, doc: str, text: str) -> DataFrame:
+def tfidf(docs: DataFrame, doc: str, text: str, term: str = TERM) -> DataFrame:
     """(doc, term, weight): (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), of unit length per document."""
-    terms = docs.select(doc, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM), F.lit(0))).alias("term")).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = docs.select(doc, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(term), F.lit(0))).alias("term")).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
     n = docs.agg(F.count(F.lit(1)).cast("double").alias("n"))
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     w = terms.join(df, "term").crossJoin(F.broadcast(n)).withColumn("w", (1.0 + F.log("tf")) * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0))
@@ -58,17 +58,14 @@ def tfidf(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return w.join(norm, doc).select(doc, "term", (F.col("w") / F.col("norm")).alias("weight"), F.col("df"), "n")
 
 
-def search(docs: DataFrame, query: str, doc: str = "doc_id", text: str = "text", k: int = TOP_PASSAGES) -> DataFrame:
+def search(docs: DataFrame, query: str, doc: str = "doc_id", text: str = "text", k: int = TOP_PASSAGES, term: str = TERM) -> DataFrame:
     """(doc, score): the most similar documents to the query's words with a score above 0.
 
     Only documents' norms need all terms; the query's few terms reach the rest by a broadcast of their number.
     """
-    import re
-
-    words = re.findall(r"[\w\-]{2,}", query.lower())
-    counts = {w: words.count(w) for w in words}
-    weights = tfidf(docs, doc, text)
-    q = docs.sparkSession.createDataFrame(list(counts.items()), "term string, qtf long")
+    weights = tfidf(docs, doc, text, term)
+    asked = docs.sparkSession.createDataFrame([(query,)], "q string").select(F.explode(F.regexp_extract_all(F.lower("q"), F.lit(term), F.lit(0))).alias("term"))
+    q = asked.groupBy("term").agg(F.count(F.lit(1)).alias("qtf"))
     hits = weights.join(F.broadcast(q), "term").withColumn("qw", (1.0 + F.log("qtf")) * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0))
     return hits.groupBy(doc).agg(F.sum(F.col("weight") * F.col("qw")).alias("score")).filter("score > 0").orderBy(F.desc(F.round("score", 9)), doc).limit(k)
 

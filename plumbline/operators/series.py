@@ -47,13 +47,17 @@ def _split_lag(times: DataFrame, column: str, width: int) -> DataFrame:
 
 
 def time_coverage(df: DataFrame, time: str) -> DataFrame:
-    """One row: start, end, steps, median step, duplicate times, gaps beyond 1.6 median steps and the largest."""
-    seconds = F.unix_timestamp(F.col(time).cast("timestamp"))
-    counts = df.filter(F.col(time).isNotNull()).groupBy(seconds.alias("t")).agg(F.count(F.lit(1)).alias("n"))
-    steps = _split_lag(counts, "t", 86400 * 366).withColumn("d", F.col("t") - F.col("previous"))
-    top = steps.agg(F.percentile("d", F.lit(0.5)).alias("median_step_s"), F.min("t").alias("start_s"), F.max("t").alias("end_s"), F.count(F.lit(1)).alias("n_steps"), (F.sum("n") - F.count(F.lit(1))).alias("duplicate_times"), F.max("d").alias("largest_gap_s"))
-    gaps = steps.crossJoin(F.broadcast(top.select("median_step_s"))).agg(F.count_if(F.col("d") > 1.6 * F.col("median_step_s")).alias("n_gaps"))
-    return top.crossJoin(F.broadcast(gaps)).select("start_s", "end_s", "n_steps", "median_step_s", "duplicate_times", "n_gaps", "largest_gap_s")
+    """One row: start, end, steps, median step, duplicate times, gaps beyond 1.6 median steps and the largest.
+
+    Times are compared to the microsecond; figures are in seconds.
+    """
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    counts = df.filter(F.col(time).isNotNull()).groupBy(micros.alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    steps = _split_lag(counts, "t", 86400 * 366 * 1_000_000).withColumn("d", F.col("t") - F.col("previous"))
+    seconds = lambda c: (c / 1e6).cast("double")
+    top = steps.agg(F.percentile("d", F.lit(0.5)).alias("median_step"), F.min("t").alias("a"), F.max("t").alias("b"), F.count(F.lit(1)).alias("n_steps"), (F.sum("n") - F.count(F.lit(1))).alias("duplicate_times"), F.max("d").alias("gap"))
+    gaps = steps.crossJoin(F.broadcast(top.select("median_step"))).agg(F.count_if(F.col("d") > 1.6 * F.col("median_step")).alias("n_gaps"))
+    return top.crossJoin(F.broadcast(gaps)).select(seconds(F.col("a")).alias("start_s"), seconds(F.col("b")).alias("end_s"), "n_steps", seconds(F.col("median_step")).alias("median_step_s"), "duplicate_times", "n_gaps", seconds(F.col("gap")).alias("largest_gap_s"))
 
 
 def seasonal_cycle(points: DataFrame) -> DataFrame:

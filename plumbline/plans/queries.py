@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import expr
-from plumbline.operators import documents, profile, rules, series, spatial, trend
+from plumbline.operators import claims, documents, profile, rules, series, spatial, trend
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -133,8 +133,8 @@ def partial_day_filter(spark, sf_dir):
 
 # --- time ---
 
-@query("""WITH c AS (SELECT epoch(o_orderdate)::BIGINT AS t, count(*) AS n FROM orders GROUP BY 1), d AS (SELECT t, n, t - lag(t) OVER (ORDER BY t) AS d FROM c), m AS (SELECT quantile_cont(d, 0.5) AS m FROM d)
-SELECT min(t)::BIGINT AS start_s, max(t)::BIGINT AS end_s, count(*)::BIGINT AS n_steps, any_value(m)::DOUBLE AS median_step_s, (sum(n) - count(*))::BIGINT AS duplicate_times, count(*) FILTER (d > 1.6 * m)::BIGINT AS n_gaps, max(d)::BIGINT AS largest_gap_s FROM d, m""")
+@query("""WITH c AS (SELECT epoch_us(o_orderdate) AS t, count(*) AS n FROM orders GROUP BY 1), d AS (SELECT t, n, t - lag(t) OVER (ORDER BY t) AS d FROM c), m AS (SELECT quantile_cont(d, 0.5) AS m FROM d)
+SELECT min(t) / 1e6::DOUBLE AS start_s, max(t) / 1e6::DOUBLE AS end_s, count(*)::BIGINT AS n_steps, any_value(m)::DOUBLE / 1e6 AS median_step_s, (sum(n) - count(*))::BIGINT AS duplicate_times, count(*) FILTER (d > 1.6 * m)::BIGINT AS n_gaps, max(d) / 1e6::DOUBLE AS largest_gap_s FROM d, m""")
 def time_coverage(spark, sf_dir):
     return series.time_coverage(_t(spark, sf_dir, "orders"), "o_orderdate")
 
@@ -216,10 +216,10 @@ def extremes_robust_z(spark, sf_dir):
 
 # --- events ---
 
-@query("""WITH c AS (SELECT event_type, ts::DATE AS day, count(*) AS n FROM events WHERE event_id % 7 < 3 GROUP BY ALL), s AS (SELECT event_type, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM c GROUP BY 1)
+@query("""WITH c AS (SELECT event_type, ts::DATE AS day, count(*) AS n FROM events GROUP BY ALL), s AS (SELECT event_type, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM c GROUP BY 1)
 SELECT s.event_type, s.day, coalesce(c.n, 0)::BIGINT AS n FROM s LEFT JOIN c USING (event_type, day)""")
 def daily_counts_zero_filled(spark, sf_dir):
-    return series.daily_counts(_t(spark, sf_dir, "events").filter("event_id % 7 < 3"), "ts", "event_type")
+    return series.daily_counts(_t(spark, sf_dir, "events"), "ts", "event_type")
 
 
 _SHIP = """WITH c AS (SELECT l_shipdate::DATE AS day, count(*) AS n FROM lineitem GROUP BY 1), d AS (SELECT s.day, coalesce(c.n, 0) AS n FROM (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM c) s LEFT JOIN c USING (day))"""
@@ -273,8 +273,8 @@ def quality_flags(spark, sf_dir):
     return rules.value_issues(profile.numeric_stats(df, df.columns))
 
 
-@query("""WITH c AS (SELECT epoch(ts)::BIGINT AS t, count(*) AS n FROM events GROUP BY 1), d AS (SELECT t, n, t - lag(t) OVER (ORDER BY t) AS d FROM c), m AS (SELECT quantile_cont(d, 0.5) AS m FROM d)
-SELECT 'warning' AS level, 'duplicate_times' AS code FROM d HAVING sum(n) > count(*) UNION ALL SELECT 'info', 'time_gaps' FROM d, m HAVING count(*) FILTER (d > 1.6 * m) > 0 UNION ALL SELECT 'warning', 'short_record' FROM d HAVING (max(t) - min(t)) / (86400 * 365.25) < 1.95""")
+@query("""WITH c AS (SELECT epoch_us(ts) AS t, count(*) AS n FROM events GROUP BY 1), d AS (SELECT t, n, t - lag(t) OVER (ORDER BY t) AS d FROM c), m AS (SELECT quantile_cont(d, 0.5) AS m FROM d)
+SELECT 'warning' AS level, 'duplicate_times' AS code FROM d HAVING sum(n) > count(*) UNION ALL SELECT 'info', 'time_gaps' FROM d, m HAVING count(*) FILTER (d > 1.6 * m) > 0 UNION ALL SELECT 'warning', 'short_record' FROM d HAVING (max(t) - min(t)) / (86400e6 * 365.25) < 1.95""")
 def coverage_flags(spark, sf_dir):
     return rules.coverage_issues(series.time_coverage(_t(spark, sf_dir, "events"), "ts"))
 
@@ -288,8 +288,8 @@ def document_flags(spark, sf_dir):
 def claim_verification(spark, sf_dir):
     stats = profile.numeric_stats(_t(spark, sf_dir, "lineitem"), ["l_quantity"]).first()
     facts = {"statistics.l_quantity.mean": stats["mean"], "statistics.l_quantity.max": stats["max"], "trends.l_quantity.slope_per_year": 0.01, "trends.l_quantity.mk_p": 0.4}
-    claims = [(f"The mean l_quantity is {stats['mean']:.1f}.", float(round(stats["mean"], 1)), "statistics.l_quantity.mean"), ("The mean is 9999.", 9999.0, "statistics.l_quantity.mean"), ("The median is 3.", 3.0, "statistics.l_quantity.p50"), ("About 123456 items were lost.", None, None), ("Quantities look even.", None, None), ("Quantity rises by 0.01 a year.", 0.01, "trends.l_quantity.slope_per_year")]
-    return rules.check_claims(spark.createDataFrame(claims, "text string, value double, fact string"), facts)
+    said = [(f"The mean l_quantity is {stats['mean']:.1f}.", float(round(stats["mean"], 1)), "statistics.l_quantity.mean"), ("The mean is 9999.", 9999.0, "statistics.l_quantity.mean"), ("The median is 3.", 3.0, "statistics.l_quantity.p50"), ("About 123456 items were lost.", None, None), ("Quantities look even.", None, None), ("Quantity rises by 0.01 a year.", 0.01, "trends.l_quantity.slope_per_year")]
+    return claims.verify(spark.createDataFrame(said, "text string, value double, fact string"), claims.facts_table(spark, facts))
 
 
 # --- documents ---
@@ -311,25 +311,17 @@ def keyword_top25(spark, sf_dir):
 _TERMS = ["the", "from", "und", "token", "idiot", "license"]
 
 
-@query(" UNION ALL ".join(f"SELECT '{t}' AS term, count(DISTINCT doc_id)::BIGINT AS n_pages, min(doc_id)::BIGINT AS first_page FROM documents WHERE regexp_matches(text, '(?i)\\b{t}\\b') HAVING count(*) > 0" for t in _TERMS))
+@query(" UNION ALL ".join(f"SELECT '{t}' AS term, count(DISTINCT doc_id)::BIGINT AS n_pages, min(doc_id)::BIGINT AS first_page FROM documents WHERE regexp_matches(text, '(?i)(^|[^\\p{{L}}\\p{{N}}_]){t}($|[^\\p{{L}}\\p{{N}}_])') HAVING count(*) > 0" for t in _TERMS))
 def mentions_by_page(spark, sf_dir):
     return documents.mentions(_t(spark, sf_dir, "documents"), "doc_id", "text", _TERMS)
 
 
-@query(r"""WITH d AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_\-]{2,}')) AS term FROM documents), f AS (SELECT doc_id, term, count(*)::DOUBLE AS tf FROM d GROUP BY ALL), g AS (SELECT term, count(*)::DOUBLE AS df FROM f GROUP BY 1), n AS (SELECT count(*)::DOUBLE AS n FROM documents),
+@query(r"""WITH d AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_\-]{2,}')) AS term FROM documents), f AS (SELECT doc_id, term, count(*)::DOUBLE AS tf FROM d GROUP BY ALL), g AS (SELECT term, count(*)::DOUBLE AS df FROM f GROUP BY 1), n AS (SELECT count(*)::DOUBLE AS n FROM documents),
 w AS (SELECT doc_id, term, df, n, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM f JOIN g USING (term), n), m AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1),
 r AS (SELECT doc_id, sum(w / norm * (1 + ln(q.tf)) * (ln((1 + n) / (1 + df)) + 1)) AS score FROM w JOIN m USING (doc_id) JOIN (VALUES ('the', 1.0::DOUBLE), ('that', 2.0::DOUBLE), ('worthless', 1.0::DOUBLE)) q(term, tf) USING (term) GROUP BY 1)
 SELECT doc_id, round(score, 6) AS score FROM r ORDER BY round(score, 9) DESC, doc_id LIMIT 6""")
 def tfidf_search(spark, sf_dir):
-    return _rounded(_search(spark, sf_dir), "score")
-
-
-def _search(spark, sf_dir):
-    old, documents.TERM = documents.TERM, r"[a-z0-9_\-]{2,}"
-    try:
-        return documents.search(_t(spark, sf_dir, "documents"), "the that worthless that")
-    finally:
-        documents.TERM = old
+    return _rounded(documents.search(_t(spark, sf_dir, "documents"), "the that worthless that"), "score")
 
 
 _QUERY_VECTOR = [((7 * i) % 13 - 6) / 10 for i in range(64)]

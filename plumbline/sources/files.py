@@ -8,6 +8,7 @@ import html
 import json
 import lzma
 import math
+import os
 import shutil
 import tarfile
 import zipfile
@@ -21,24 +22,31 @@ MOST_MEMBERS, MOST_BYTES, MOST_DEPTH = 500, 8 << 30, 3
 STORE_MARKS = (".zgroup", ".zarray", "zarr.json")
 
 
+def listing(folder: Path, out: Path | None = None) -> list[tuple[Path, str, bool]]:
+    """(folder, name, is a chunk store) of all that lies below; stores are not entered, ``out`` and hidden folders neither."""
+    rows = []
+    for at, folders, names in os.walk(folder):
+        here = Path(at)
+        stores = [d for d in folders if d.lower().endswith(".zarr") or any((here / d / m).exists() for m in STORE_MARKS)]
+        rows += [(here, d, True) for d in stores if not d.startswith(".")]
+        rows += [(here, n, False) for n in names]
+        folders[:] = [d for d in folders if d not in stores and not d.startswith(".") and not (out and (here / d).resolve() == out.resolve())]
+    return rows
+
+
 def inputs(folder: Path, out: Path | None = None) -> list[Path]:
-    """Data files below a folder in order; a chunk store is one item, companions of a file are skipped."""
-    found = []
-    here = sorted(folder.iterdir())
-    names = {p.name.lower() for p in here if p.is_file()}
-    for p in here:
-        low = p.name.lower()
-        if p.name in IGNORED or p.name.startswith(".") or (out and p.resolve() == out.resolve()):
-            continue
-        if p.is_dir():
-            found += [p] if low.endswith(".zarr") or any((p / m).exists() for m in STORE_MARKS) else inputs(p, out)
-        elif p.suffix.lower() in SHAPE_PARTS and p.with_suffix(".shp").exists():
-            continue
-        elif low.endswith(SIDECARS) and any(low != n and low.startswith(n + ".") for n in names):
-            continue
-        else:
-            found.append(p)
-    return found
+    """Data files below a folder in order: its listing less the companions that name another row as their owner."""
+    rows = listing(folder, out)
+    known = {(at, name.lower()) for at, name, _ in rows}
+
+    def owners(name: str) -> set[str]:
+        """Names of files that this one would accompany."""
+        base, _, end = name.lower().rpartition(".")
+        shapes = {f"{base}.shp"} if f".{end}" in SHAPE_PARTS else set()
+        return shapes | {name.lower()[: -len(s)] for s in SIDECARS if name.lower().endswith(s)}
+
+    kept = [(at, name) for at, name, store in rows if store or (name not in IGNORED and not name.startswith(".") and not any((at, o) in known for o in owners(name)))]
+    return sorted(at / name for at, name in kept)
 
 
 def unpack(path: Path, to: Path, most_bytes: int = MOST_BYTES, most_members: int = MOST_MEMBERS) -> list[Path]:

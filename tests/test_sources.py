@@ -5,7 +5,7 @@ import zipfile
 import numpy as np
 import pytest
 
-from plumbline.operators import rules
+from plumbline.operators import claims
 from plumbline.plans.explore import explore
 from plumbline.sources import files, rasters, registry, tabular, unknown
 from plumbline.sources.registry import Options
@@ -108,31 +108,61 @@ def test_small_helpers(spark, tmp_path):
     assert "longitude=-170.0" in files.point_series_url("http://host/api", 1, 190, "2020-01-01", "2020-12-31", ("T",))
 
 
-def test_claims():
-    facts = {"statistics.t.mean": 12.345, "trends.t.slope_per_year": 0.05, "trends.t.mk_p": 0.4, "summary.n_rows": 240, "statistics.share.mean": 0.25}
-    check = lambda t, v=None, f=None: rules.check_claim(t, v, f, facts)
-    assert check("The mean is 12.3.", 12.3, "statistics.t.mean") == "verified"
-    assert check("The mean is 14.", 14.0, "statistics.t.mean") == "mismatch"
-    assert check("The mean is 12.3 of 77.", 12.3, "statistics.t.mean") == "unsupported"
-    assert check("x", 1.0, "statistics.u.mean") == "unsupported"
-    assert check("Looks even.") == "qualitative" and check("About 5 people.") == "unsupported"
-    assert check("It rises by 0.05 a year.", 0.05, "trends.t.slope_per_year") == "mismatch"
-    assert check("The rise of 0.05 a year is not significant at 95% (p<0.5).", 0.05, "trends.t.slope_per_year") == "verified"
-    assert check("A share of 25% is cloudy.", None, None) == "verified"
-    assert rules.loose_json("```json\n{\"a\": [1, 2,],}\n```") == {"a": [1, 2]} and rules.loose_json("none") is None
-    assert rules.flatten_facts({"a": {"b": 1}, "c": [2, {"d": "x"}]}) == {"a.b": 1, "c.0": 2, "c.1.d": "x"}
+def statuses(spark, facts, said):
+    rows = [(k, *(list(x) + [None, None])[:3]) for k, x in enumerate(said)]
+    got = claims.verify(spark.createDataFrame(rows, "k int, text string, value double, fact string"), claims.facts_table(spark, facts))
+    assert got.columns == ["k", "text", "value", "fact", "status"]
+    return [r.status for r in got.orderBy("k").collect()]
 
 
-def test_wrong_claims_rarely_pass():
+def test_claims(spark):
+    facts = {"statistics": {"t": {"mean": 12.345}, "share": {"mean": 0.25}}, "trends": {"t": {"slope_per_year": 0.05, "mk_p": 0.4}, "u": {"slope_per_year": -2.0, "mk_p": 0.001}}, "summary": {"n_rows": 240}}
+    cases = [
+        (("The mean is 12.3.", 12.3, "statistics.t.mean"), "verified"), (("The mean is 14.", 14.0, "statistics.t.mean"), "mismatch"), (("The mean is 12.3 of 77.", 12.3, "statistics.t.mean"), "unsupported"),
+        (("x", 1.0, "statistics.u.mean"), "unsupported"), (("Looks even.",), "qualitative"), (("About 5 people.",), "unsupported"), (("It rises by 0.05 a year.", 0.05, "trends.t.slope_per_year"), "mismatch"),
+        (("The rise of 0.05 a year is not significant at 95% (p<0.5).", 0.05, "trends.t.slope_per_year"), "verified"), (("The rise of 0.05 is insignificant at the 95% confidence level.", 0.05, "trends.t.slope_per_year"), "verified"),
+        (("It falls by 2 a year.", -2.0, "trends.u.slope_per_year"), "unsupported"), (("It changes by \u22122.0 a year over 240 rows.", -2.0, "trends.u.slope_per_year"), "verified"), (("Its change of -2 is not significant.", -2.0, "trends.u.slope_per_year"), "mismatch"),
+        (("A share of 25% is cloudy.",), "verified"), ((None,), "qualitative"), (("CO2 and T2M look even.",), "qualitative"), (("The share is 0.25, from 2001-2020.",), "unsupported"), (("Mean 1,234.", None, ""), "unsupported"), ((None, 12.345, "statistics.t.mean"), "verified"),
+    ]
+    assert statuses(spark, facts, [c for c, _ in cases]) == [s for _, s in cases]
+    assert claims.loose_json("```json\n{\"a\": [1, 2,],}\n```") == {"a": [1, 2]} and claims.loose_json("none") is None and claims.loose_json('so {x} then {"b": "1,]"} end') == {"b": "1,]"}
+    assert claims.fact_paths({"a": {"b": 1}, "c": [2, 3], "d": [2, {"d": "x"}], "e": "y" * 81, "f": float("nan"), "g": list(range(9)), "h": "z"}) == {"a.b": 1, "c.0": 2, "c.1": 3, "h": "z"}
+
+
+def test_wrong_claims_rarely_pass(spark):
     rng = np.random.default_rng(4)
-    facts = {f"statistics.v{i}.mean": float(rng.normal(0, 100)) for i in range(20)}
-    wrong = right = 0
-    for k, v in facts.items():
+    facts = {"statistics": {f"v{i}": {"mean": float(rng.normal(0, 100))} for i in range(20)}}
+    wrong, right = [], []
+    for k, v in facts["statistics"].items():
         for _ in range(10):
-            bad = v * (1 + rng.choice([-1, 1]) * rng.uniform(0.02, 0.5)) + 0.2
-            wrong += rules.check_claim(f"The mean is {bad:.2f}.", round(bad, 2), k, facts) == "verified"
-            right += rules.check_claim(f"The mean is {v:.2f}.", round(v, 2), k, facts) == "verified"
-    assert wrong < 0.05 * 200 and right > 0.95 * 200
+            bad = float(v["mean"] * (1 + rng.choice([-1, 1]) * rng.uniform(0.02, 0.5)) + 0.2)
+            wrong.append((f"The mean is {bad:.2f}.", round(bad, 2), f"statistics.{k}.mean"))
+            right.append((f"The mean is {v['mean']:.2f}.", round(v["mean"], 2), f"statistics.{k}.mean"))
+    assert statuses(spark, facts, wrong).count("verified") < 0.05 * 200 and statuses(spark, facts, right).count("verified") > 0.95 * 200
+
+
+def test_rows_that_equal_the_header_or_lack_values_stay(spark, tmp_path):
+    rows = ["a,b,c", ",mm,K"] + [f"x{i},{i},{i + 0.5}" for i in range(100)] + ["a,b,c", "x,,", "x,,"]
+    (tmp_path / "t.csv").write_text("\n".join(rows))
+    found = tabular.read_delimited(spark, tmp_path / "t.csv", Options())
+    got = found.df.collect()
+    assert found.meta["units"] == {"b": "mm", "c": "K"} and len(got) == 103 and sum(r.b is None for r in got) == 3 and sum(r.a == "a" for r in got) == 1
+    (tmp_path / "q.csv").write_text('note\na,b,c\n' + "\n".join(f'x{i},"line one\nline {i}",{i}' for i in range(20)))
+    got = tabular.read_delimited(spark, tmp_path / "q.csv", Options()).df.collect()
+    assert len(got) == 20 and {r.b for r in got} == {f"line one\nline {i}" for i in range(20)} and sorted(r.c for r in got) == list(range(20))
+
+
+def test_companions_and_stores(tmp_path):
+    for n in ("a.shp", "a.dbf", "a.shx", "b.dbf", "c.tif", "c.tif.aux.xml", "c.tif.ovr", "d.idx", ".hidden", "sub/e.csv", "sub/s.zarr/.zgroup", "sub/k/.zarray", "out/r.json"):
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text("x")
+    got = [str(p.relative_to(tmp_path)) for p in files.inputs(tmp_path, tmp_path / "out")]
+    assert got == ["a.shp", "b.dbf", "c.tif", "d.idx", "sub/e.csv", "sub/k", "sub/s.zarr"]
+
+
+def test_bodies():
+    assert rasters.body_of('PROJCRS["x", ELLIPSOID["Mars_2000_IAU", 3396190, 169.8]]') == "Mars" and rasters.body_of('SPHEROID["s",2439400.0,0]') == "Mercury"
+    assert rasters.body_of("+proj=longlat +a=6378137 +b=6356752") == "Earth" and rasters.body_of(label='{"target": "Venus",') == "Venus" and rasters.body_of('GEOGCS["GCS_Moon_2000"]') == "Moon"
 
 
 def test_stream_equals_batch(spark, tmp_path):

@@ -16,7 +16,7 @@ series = st.lists(st.integers(-20, 20).map(float), min_size=3, max_size=40).map(
 @settings(max_examples=80, deadline=None)
 def test_kendall_and_sen_equal_brute_force(x):
     pairs = list(combinations(range(len(x)), 2))
-    assert trend.kendall_s(x) == sum((x[j] > x[i]) - (x[j] < x[i]) for i, j in pairs)
+    assert trend.kendall_s(x) == sum(int(x[j] > x[i]) - int(x[j] < x[i]) for i, j in pairs)
     assert trend.sen_slope(x) == pytest.approx(np.median([(x[j] - x[i]) / (j - i) for i, j in pairs]))
 
 
