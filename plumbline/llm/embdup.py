@@ -1,20 +1,25 @@
-"""Near-duplicate vectors by overlapping shards, compared whole, and a robust-pruned graph that leads on across them.
+"""Near-duplicate vectors: overlapping shards, a robust-pruned graph united over them, and range search along it.
 
 1. Copies of a vector within a label are one node with a weight. Nodes go to their two nearest centroids
    (k-means per label, fitted on a bounded sample); these shards overlap. A shard beyond ``PART`` nodes is
    dealt to parts by a hash.
-2. Each shard's nodes are compared with one another, part by part: no link within a shard is lost.
-3. Each part builds a graph: the nearest of each node, pruned so that a kept neighbour hides those that
-   are nearer to it than to the node. What is linked but not joined by edges in range (a group has more
-   near copies than a list has places) is joined by its nearest pairs. The lists of all shards are united
-   per node, and hits whose neighbours lie in other shards go on by Spark joins.
-4. A sample of queries of fixed size is compared with all rows; below ``RECALL``, over all links or over the
-   mean query, all nodes of a label are compared.
-5. Every link is verified in double precision on the original vectors.
-
-Only equal, non-null labels are compared. Rows with an unusable vector (null, zero, non-finite or null
-components), or a null label, link with nothing; rows with a null id are left out; of rows that repeat an
-id one counts. An empty table gives no rows.
+2. Each part builds a graph: the nearest of each node, pruned so that a kept neighbour hides those that are
+   nearer to it than to the node; what is linked but not joined by edges in range is joined by its nearest
+   pairs. The lists of all shards are united per node.
+3. Range search. A node starts in its own shards, at their medoids, and there meets every node. Where it finds a
+   link, the search expands along the united list of what it found: the shards of those neighbours that it has
+   not met come next, until no new shard comes. Each linked node counts once, in the first shard of the
+   searcher's way that holds it.
+4. A block of nodes against a block gives a count for each searcher, the components of the block as stars, and
+   the shards to go to, so its output grows with its nodes, however many links they have. Single precision
+   decides all pairs but those within its error of the threshold; these are verified one by one in double
+   precision on the original vectors.
+5. Audit: the links of a sample of nodes are counted against all rows. Below ``RECALL`` all nodes of a label
+   meet in parts instead; if the audit still fails, an error is raised.
+
+Only equal, non-null labels are compared. One row leaves for each that comes. Rows with an unusable vector (null,
+zero, non-finite or null components, another length than most), a null label or a null id link with nothing.
+Rows that repeat an id are vectors of their own. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +38,14 @@ COSINE = 0.93
 SHARD, PART, OVERLAP = 1024, 2048, 2
 SAMPLE, MOST_CENTROIDS, AUDIT, RECALL = 40_000, 16_384, 256, 0.995
 NEAR, DEGREE, ALPHA = 40, 14, 1.2
-SLACK = 1e-4
+COPY_PARTS = 4096
+FOUND = "kind int, a long, b long, n long, shards array<long>"
+COUNT, STAR, CLOSE = 0, 1, 2
+
+
+def slack(dim: int) -> float:
+    """More than a cosine of single precision can be off."""
+    return max(1e-5, 2e-7 * dim)
 
 
 def _units(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,7 +54,7 @@ def _units(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(x):
             x = x / np.abs(x).max(1, keepdims=True)
             x = (x / np.sqrt((x * x).sum(1, keepdims=True))).astype(np.float32)
-        yield pa.RecordBatch.from_arrays([b.column("node"), b.column("label"), binary_rows(x)], ["node", "label", "v"])
+        yield pa.RecordBatch.from_arrays([b.column("node"), b.column("label"), binary_rows(x), b.column("weight")], ["node", "label", "v", "weight"])
 
 
 def centroids(labels: np.ndarray, x: np.ndarray, counts: dict[int, int], rounds: int = 6, seed: int = 1) -> dict[int, np.ndarray]:
@@ -65,7 +77,7 @@ def centroids(labels: np.ndarray, x: np.ndarray, counts: dict[int, int], rounds:
 
 
 def _assign(batches: Iterable[pa.RecordBatch], given: dict[int, np.ndarray], base: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    """(node, v, shards): the nearest centroids of each node's label."""
+    """(node, v, weight, shards): the nearest centroids of each node's label."""
     for b in batches:
         x = blobs(b.column("v"), np.float32)
         label = b.column("label").to_numpy()
@@ -79,7 +91,7 @@ def _assign(batches: Iterable[pa.RecordBatch], given: dict[int, np.ndarray], bas
                 got = np.argsort(-(x[rows] @ c.T), 1, kind="stable")[:, :OVERLAP] + base[int(own)]
             for r, g in zip(rows, got.tolist()):
                 shards[r] = g
-        yield pa.RecordBatch.from_arrays([b.column("node"), b.column("v"), pa.array(shards, pa.list_(pa.int64()))], ["node", "v", "shards"])
+        yield pa.RecordBatch.from_arrays([b.column("node"), b.column("v"), b.column("weight"), pa.array(shards, pa.list_(pa.int64()))], ["node", "v", "weight", "shards"])
 
 
 def pruned(x: np.ndarray, near: int = NEAR, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
@@ -151,104 +163,102 @@ def _graph(table: pa.Table, reach: float) -> pa.Table:
     return pa.table({"a": np.concatenate([node[a], node[b]]), "b": np.concatenate([node[b], node[a]])})
 
 
-def search(x: np.ndarray, adjacency: np.ndarray, queries: np.ndarray, reach: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) pairs of cosine ``reach`` or more: a beam from the medoid, then all that hits lead to."""
-    n, nq = len(x), len(queries)
-    medoid = int((x @ x.mean(0)).argmax())
-    seen = np.zeros((nq, n), bool)
-    seen[:, medoid] = True
-    ids = np.full((nq, beam), -1)
-    sims = np.full((nq, beam), -np.inf, np.float32)
-    done = np.ones((nq, beam), bool)
-    ids[:, 0], sims[:, 0], done[:, 0] = medoid, queries @ x[medoid], False
-    rows = np.arange(nq)
-    hits_q, hits_n = [], []
-
-    def note(q, m, s):
-        ok = s >= reach
-        hits_q.append(q[ok])
-        hits_n.append(m[ok])
-
-    note(rows, ids[:, 0], sims[:, 0])
-    while True:
-        open_ = ~done
-        some = np.flatnonzero(open_.any(1))
-        if not len(some):
-            break
-        at = open_[some].argmax(1)
-        done[some, at] = True
-        nb = adjacency[ids[some, at]]
-        ok = (nb >= 0) & ~seen[some[:, None], nb]
-        i, j = np.nonzero(ok)
-        q, m = some[i], nb[i, j]
-        seen[q, m] = True
-        s = np.einsum("kd,kd->k", queries[q], x[m])
-        note(q, m, s)
-        new_s = np.full(nb.shape, -np.inf, np.float32)
-        new_s[i, j] = s
-        both = np.concatenate([sims[some], new_s], 1)
-        order = np.argsort(-both, 1, kind="stable")[:, :beam]
-        sims[some] = np.take_along_axis(both, order, 1)
-        ids[some] = np.take_along_axis(np.concatenate([ids[some], nb], 1), order, 1)
-        done[some] = np.take_along_axis(np.concatenate([done[some], np.zeros(nb.shape, bool)], 1), order, 1) | ~np.isfinite(sims[some])
-    q, m = np.concatenate(hits_q), np.concatenate(hits_n)
-    out_q, out_m = [q], [m]
-    while len(q):
-        next_q, next_m = [], []
-        for k in range(0, len(q), 20_000):
-            nb = adjacency[m[k : k + 20_000]]
-            wide = np.repeat(q[k : k + 20_000], nb.shape[1])
-            flat = nb.ravel()
-            ok = flat >= 0
-            wide, flat = wide[ok], flat[ok]
-            ok = ~seen[wide, flat]
-            code = np.unique(wide[ok] * n + flat[ok])
-            wide, flat = code // n, code % n
-            seen[wide, flat] = True
-            for c in range(0, len(wide), 200_000):
-                a, b = wide[c : c + 200_000], flat[c : c + 200_000]
-                hit = np.einsum("kd,kd->k", queries[a], x[b]) >= reach
-                next_q.append(a[hit])
-                next_m.append(b[hit])
-        q = np.concatenate(next_q) if next_q else np.zeros(0, np.int64)
-        m = np.concatenate(next_m) if next_m else np.zeros(0, np.int64)
-        out_q.append(q)
-        out_m.append(m)
-    return np.concatenate(out_q), np.concatenate(out_m)
-
-
 def _whole(column: pa.ChunkedArray) -> pa.Array:
     return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
-def _compared(members: pa.Table, queries: pa.Table, reach: float) -> pa.Table:
-    """Hits (a, b), a < b, of one part's nodes with another's: every pair is measured."""
-    if not members.num_rows or not queries.num_rows:
-        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    node, x = members["node"].to_numpy(), blobs(_whole(members["v"]), np.float32)
-    name, qx = queries["q"].to_numpy(), blobs(_whole(queries["qv"]), np.float32)
-    out_a, out_b = [], []
-    for k in range(0, len(name), 1024):
-        q, m = np.nonzero(qx[k : k + 1024] @ x.T >= reach)
-        a, b = name[k + q], node[m]
-        # A part meets itself once: each pair comes from both of its nodes.
-        use = a < b if members["i"][0] == members["j"][0] else a != b
-        out_a.append(np.minimum(a, b)[use])
-        out_b.append(np.maximum(a, b)[use])
-    return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+def _padded(lists: list[list[int]]) -> np.ndarray:
+    """Lists as rows of one width, short ones filled with a shard that there is not."""
+    out = np.full((len(lists), max(map(len, lists), default=0) or 1), np.iinfo(np.int64).min)
+    for row, x in zip(out, lists):
+        row[: len(x)] = x
+    return out
+
+
+def first_met(way: np.ndarray, holds: np.ndarray, shard: int, q: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Which pairs (q, m) meet in ``shard`` first: no earlier shard of q's way holds m."""
+    at = (way == shard).argmax(1)
+    met = np.zeros(len(q), bool)
+    for k in range(int(at.max(initial=0))):
+        met |= (at[q] > k) & (holds[m] == way[q, k][:, None]).any(1)
+    return ~met
+
+
+def stars(q: np.ndarray, m: np.ndarray, n: int) -> np.ndarray:
+    """The smallest row of each row's component under the edges (q, m)."""
+    own = np.arange(n)
+    while True:
+        low = own.copy()
+        np.minimum.at(low, q, own[m])
+        np.minimum.at(low, m, own[q])
+        low = low[low]
+        if (low == own).all():
+            return own
+        own = low
+
+
+def _met(members: pa.Table, searchers: pa.Table, reach: float) -> pa.Table:
+    """What a part's searchers find among a part's members."""
+    out: list[list] = [[], [], [], [], []]
+
+    def add(kind: int, a, b, n, shards=None):
+        for o, x in zip(out, (np.full(len(a), kind), a, b, n, shards if shards is not None else [None] * len(a))):
+            o.extend(x if isinstance(x, list) else x.tolist())
+
+    if members.num_rows and searchers.num_rows:
+        node, x, weight = members["node"].to_numpy(), blobs(_whole(members["v"]), np.float32), members["weight"].to_numpy()
+        holds, roads = _padded(members["shards"].to_pylist()), members["roads"].to_pylist()
+        name, qx, way = searchers["q"].to_numpy(), blobs(_whole(searchers["qv"]), np.float32), searchers["way"].to_pylist()
+        shard, off = int(members["shard"][0].as_py()), slack(x.shape[1])
+        ways = _padded(way)
+        of_road, roads = np.unique(_padded(roads), axis=0, return_inverse=True)
+        roads = roads.reshape(-1)
+        rows, at = np.unique(np.concatenate([node, name]), return_inverse=True)
+        root = np.arange(len(rows))
+        for k in range(0, len(name), 512):
+            sim = qx[k : k + 512] @ x.T
+            q, m = np.nonzero(sim >= reach - off)
+            sure = sim[q, m] >= reach + off
+            q = q + k
+            use = (name[q] != node[m]) & first_met(ways, holds, shard, q, m)
+            q, m, sure = q[use], m[use], sure[use]
+            add(CLOSE, name[q[~sure]], node[m[~sure]], weight[m[~sure]])
+            q, m = q[sure], m[sure]
+            size = min(512, len(name) - k)
+            n = np.bincount(q - k, weight[m], size).astype(np.int64)
+            # Where the lists of what was found lead, less the way so far.
+            pairs = np.unique(np.stack([q, roads[m]], 1), axis=0)
+            to: list[list[int]] = [[] for _ in range(size)]
+            for i, r in pairs.tolist():
+                to[i - k] += of_road[r].tolist()
+            none = np.iinfo(np.int64).min
+            to = [sorted(set(t) - set(way[k + i]) - {none}) for i, t in enumerate(to)]
+            some = [i for i in range(size) if n[i]]
+            add(COUNT, name[k : k + size][some], name[k : k + size][some], n[some], [to[i] for i in some])
+            low = stars(at[len(node) + q], at[m], len(rows))
+            both = np.flatnonzero(low != np.arange(len(rows)))
+            root = stars(np.concatenate([np.flatnonzero(root != np.arange(len(rows))), both]), np.concatenate([root[root != np.arange(len(rows))], low[both]]), len(rows))
+        apart = np.flatnonzero(root != np.arange(len(rows)))
+        add(STAR, rows[root[apart]], rows[apart], np.zeros(len(apart), np.int64))
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+    return pa.table({c: pa.array(o, t) for c, o, t in zip(("kind", "a", "b", "n", "shards"), out, kinds)})
 
 
 def _parts(rows: DataFrame) -> DataFrame:
-    """Rows (node, v, shard) with the number of the shard's parts and their own part."""
+    """Rows (node, shard, ...) with the number of the shard's parts and their own part."""
     sizes = rows.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
     return rows.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("node", F.lit(9)), F.col("parts")))
 
 
-def _within(each: DataFrame, reach: float) -> DataFrame:
-    """All pairs (a, b) in range within each shard: every part with itself and with each later one."""
-    members = each.select("shard", F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"), "node", "v")
-    queries = each.select(F.col("shard").alias("qs"), F.explode(F.sequence(F.lit(0).cast("long"), "part")).alias("qi"), F.col("part").alias("qj"), F.col("node").alias("q"), F.col("v").alias("qv"))
-    return members.groupBy("shard", "i", "j").cogroup(queries.groupBy("qs", "qi", "qj")).applyInArrow(lambda m, q: _compared(m, q, reach), "a long, b long").distinct()
+def _meet(members: DataFrame, searchers: DataFrame, reach: float) -> DataFrame:
+    """FOUND rows of ``searchers`` (q, qv, way, shard) in ``members`` (node, v, weight, shards, roads, shard)."""
+    m = _parts(members)
+    s = searchers.join(m.select("shard", F.col("parts").alias("_m")).distinct(), "shard")
+    many = searchers.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / PART).alias("_parts"))
+    s = s.join(many, "shard").withColumn("qi", F.pmod(F.xxhash64("q", F.lit(5)), F.col("_parts")))
+    held = m.join(many, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("i"), F.col("part").alias("j"), "node", "v", "weight", "shards", "roads")
+    asked = s.select(F.col("shard").alias("qs"), "qi", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)).alias("qj"), "q", "qv", "way")
+    return held.groupBy("shard", "i", "j").cogroup(asked.groupBy("qs", "qi", "qj")).applyInArrow(lambda a, b: _met(a, b, reach), FOUND)
 
 
 def _cosine(a: str, b: str):
@@ -256,21 +266,27 @@ def _cosine(a: str, b: str):
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def _audit(batches: Iterable[pa.RecordBatch], asked: np.ndarray, label: np.ndarray, x: np.ndarray, reach: float) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        v = blobs(b.column("v"), np.float32)
-        if not len(v):
-            continue
-        q, m = np.nonzero((x @ v.T >= reach) & (label[:, None] == b.column("label").to_numpy()[None]))
-        node = b.column("node").to_numpy()[m]
-        use = node != asked[q]
-        yield pa.RecordBatch.from_arrays([pa.array(asked[q][use]), pa.array(node[use])], ["a", "b"])
+def _checked(pairs: DataFrame, nodes: DataFrame, reach: float) -> DataFrame:
+    """The pairs (a, b, n) whose cosine on the original vectors is ``reach`` or more."""
+    v = nodes.select("node", "vec")
+    rows = pairs.join(v.toDF("a", "va"), "a").join(v.toDF("b", "vb"), "b")
+    return rows.filter(_cosine("va", "vb") >= reach).select("a", "b", "n")
+
+
+def _gathered(found: DataFrame, nodes: DataFrame, reach: float) -> tuple[DataFrame, DataFrame]:
+    """(counts (node, n), links (a, b) that keep all components) from FOUND rows."""
+    close = store.write_table(_checked(found.filter(F.col("kind") == CLOSE).select("a", "b", "n"), nodes, reach), "close").df
+    counts = found.filter(F.col("kind") == COUNT).select("a", "n").union(close.select("a", "n")).groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    return store.write_table(counts, "counts").df, found.filter(F.col("kind") == STAR).select("a", "b").union(close.select("a", "b"))
 
 
-def links(nodes: DataFrame, reach: float = COSINE) -> tuple[DataFrame, float]:
-    """(verified links (a, b) with a < b between nodes (node, label, vec), audited recall)."""
-    spark = nodes.sparkSession
-    units = store.write_table(nodes.select("node", "label", "vec").mapInArrow(_units, "node long, label long, v binary"), "units", "none").df
+def links(nodes: DataFrame, reach: float = COSINE) -> tuple[DataFrame, DataFrame, float]:
+    """(counts (node, n), links (a, b), audited recall) of nodes (node, label, vec, weight).
+
+    ``n`` adds the weights of the other nodes linked with one. Links join what is connected; a node's star may
+    stand for several links.
+    """
+    units = store.write_table(nodes.select("node", "label", "vec", "weight").mapInArrow(_units, "node long, label long, v binary, weight long"), "units", "none").df
     counts = {r["label"]: r["n"] for r in units.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(MOST_CENTROIDS).collect()}
     sample = units.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).toPandas()
     sample = sample[sample["label"].isin(counts)]
@@ -279,63 +295,86 @@ def links(nodes: DataFrame, reach: float = COSINE) -> tuple[DataFrame, float]:
     base, k = {}, 0
     for label, c in given.items():
         base[label], k = k, k + len(c)
-    held = store.write_table(units.mapInArrow(lambda it: _assign(it, given, base), "node long, v binary, shards array<long>"), "shards", "none").df
+    held = store.write_table(units.mapInArrow(lambda it: _assign(it, given, base), "node long, v binary, weight long, shards array<long>"), "shards", "none").df
     each = _parts(held.select("node", "v", F.explode("shards").alias("shard")))
-    built = each.select("shard", "part", "node", "v").groupBy("shard", "part").applyInArrow(lambda t: _graph(t, reach - SLACK), "a long, b long")
-    adjacency = store.write_table(built.groupBy("a").agg(F.collect_set("b").alias("nbrs")).withColumnRenamed("a", "node"), "adjacency").df
-    hits = store.write_table(_within(each, reach - SLACK), "hits")
-    # On from hits to neighbours in shards that the query has not met.
-    where, fresh = held.select("node", "shards"), hits.df
+    built = each.select("shard", "part", "node", "v").groupBy("shard", "part").applyInArrow(lambda t: _graph(t, reach), "a long, b long")
+    united = store.write_table(built.groupBy("a").agg(F.collect_set("b").alias("nbrs")), "united").df
+    # A node's list of neighbours, as the shards that it leads to.
+    where = held.select(F.col("node").alias("b"), F.explode("shards").alias("to"))
+    roads = united.select("a", F.explode("nbrs").alias("b")).join(where, "b").groupBy(F.col("a").alias("node")).agg(F.sort_array(F.collect_set("to")).alias("roads"))
+    members = store.write_table(held.join(roads, "node", "left").select("node", "v", "weight", "shards", F.coalesce("roads", "shards").alias("roads")), "members", "none").df
+    by_shard = members.withColumn("shard", F.explode("shards"))
+    search = members.select(F.col("node").alias("q"), F.col("v").alias("qv"), F.col("shards").alias("way"), F.explode("shards").alias("shard"))
+    every = None
     while True:
-        both = fresh.union(fresh.select("b", "a")).toDF("q", "h")
-        on = both.join(adjacency.select(F.col("node").alias("h"), F.explode("nbrs").alias("w")), "h").select("q", "w").filter("q <> w")
-        on = on.join(where.toDF("q", "sq"), "q").join(where.toDF("w", "sw"), "w").filter(~F.arrays_overlap("sq", "sw"))
-        on = on.select(F.least("q", "w").alias("a"), F.greatest("q", "w").alias("b")).distinct().join(hits.df, ["a", "b"], "left_anti")
-        more = store.write_table(_checked(on, nodes, reach), "more")
-        if more.df.isEmpty():
+        found = store.write_table(_meet(by_shard, search, reach), "found").df
+        every = found if every is None else every.unionByName(found)
+        ways = search.groupBy("q").agg(F.first("way").alias("way"))
+        to = found.filter((F.col("kind") == COUNT) & (F.size("shards") > 0)).groupBy(F.col("a").alias("q")).agg(F.array_distinct(F.flatten(F.collect_list("shards"))).alias("to"))
+        on = to.join(ways, "q").select("q", F.sort_array(F.array_except("to", "way")).alias("to"), "way").filter(F.size("to") > 0)
+        on = on.join(units.select(F.col("node").alias("q"), F.col("v").alias("qv")), "q")
+        search = store.write_table(on.select("q", "qv", F.concat("way", "to").alias("way"), F.explode("to").alias("shard")), "search", "none").df
+        if search.isEmpty():
             break
-        fresh, hits = more.df, store.write_table(hits.df.unionByName(more.df), "hits")
-    recall = _recall(units, hits.df, reach)
+    counted, joined_by = _gathered(every, nodes, reach)
+    recall = _recall(units, counted, reach)
     if recall < RECALL:
-        hits = store.write_table(_within(_parts(units.select("node", "v", F.col("label").alias("shard"))), reach - SLACK), "hits")
-        recall = _recall(units, hits.df, reach)
-    return _checked(hits.df, nodes, reach), recall
+        whole = units.select("node", "v", "weight", F.array("label").alias("shards"), F.array("label").alias("roads"), F.col("label").alias("shard"))
+        ask = units.select(F.col("node").alias("q"), F.col("v").alias("qv"), F.array("label").alias("way"), F.col("label").alias("shard"))
+        counted, joined_by = _gathered(store.write_table(_meet(whole, ask, reach), "found").df, nodes, reach)
+        recall = _recall(units, counted, reach)
+        if recall < RECALL:
+            raise RuntimeError(f"near-duplicate vectors: audited recall {recall:.4f} is below {RECALL}")
+    return counted, joined_by, recall
+
+
+def _audit(batches: Iterable[pa.RecordBatch], asked: np.ndarray, label: np.ndarray, x: np.ndarray, reach: float) -> Iterator[pa.RecordBatch]:
+    """(q, n): the weight of what is surely linked with each asked node in a batch."""
+    for b in batches:
+        v = blobs(b.column("v"), np.float32)
+        if not len(v):
+            continue
+        hit = (x @ v.T >= reach + slack(v.shape[1])) & (label[:, None] == b.column("label").to_numpy()[None]) & (asked[:, None] != b.column("node").to_numpy()[None])
+        yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(hit @ b.column("weight").to_numpy())], ["q", "n"])
 
 
-def _recall(units: DataFrame, hits: DataFrame, reach: float) -> float:
-    """The share of a sample's links that are hits, over all links or over the mean query, whichever is less."""
+def _recall(units: DataFrame, counted: DataFrame, reach: float) -> float:
+    """The share of a sample's links that are counted, over all links or over the mean node, whichever is less."""
     asked = units.orderBy(F.xxhash64("node", F.lit(3)), "node").limit(AUDIT).toPandas()
     if not len(asked):
         return 1.0
     q = np.frombuffer(b"".join(asked["v"]), np.float32).reshape(len(asked), -1)
     known, label = asked["node"].to_numpy(np.int64), asked["label"].to_numpy(np.int64)
-    true = units.mapInArrow(lambda it: _audit(it, known, label, q, reach + SLACK), "a long, b long")
-    true = true.select(F.col("a").alias("q"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    found = true.join(hits.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("got"))
-    sums = found.agg(F.sum("n").alias("n"), F.sum("got").alias("got"), F.avg(F.col("got") / F.col("n")).alias("mean")).first()
-    return min(sums["got"] / sums["n"], sums["mean"]) if sums["n"] else 1.0
-
-
-def _checked(pairs: DataFrame, nodes: DataFrame, reach: float) -> DataFrame:
-    """The pairs whose cosine on the original vectors is ``reach`` or more."""
-    v = nodes.select("node", "vec")
-    rows = pairs.join(v.toDF("a", "va"), "a").join(v.toDF("b", "vb"), "b")
-    return rows.filter(_cosine("va", "vb") >= reach).select("a", "b")
+    there = units.mapInArrow(lambda it: _audit(it, known, label, q, reach), "q long, n long").groupBy("q").agg(F.sum("n").alias("there")).filter("there > 0")
+    got = there.join(counted.toDF("q", "n"), "q", "left").select("there", F.least("there", F.coalesce("n", F.lit(0))).alias("got"))
+    sums = got.agg(F.sum("there").alias("there"), F.sum("got").alias("got"), F.avg(F.col("got") / F.col("there")).alias("mean")).first()
+    return min(sums["got"] / sums["there"], sums["mean"]) if sums["there"] else 1.0
 
 
 def near_duplicate_vectors(vectors: DataFrame, reach: float = COSINE, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for each id."""
-    every = vectors.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id")).distinct()
-    rows = store.write_table(usable(vectors.filter(F.col(label_col).isNotNull()).withColumn("label", F.xxhash64(F.col(label_col))), id_col, vec_col, "label"), "vectors").df
-    nodes = store.write_table(rows.groupBy("label", "vec").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("weight")), "nodes").df
-    pairs = store.write_table(links(nodes, reach)[0], "links").df
-    both = pairs.union(pairs.select("b", "a")).toDF("node", "other")
-    sums = both.join(nodes.select(F.col("node").alias("other"), "weight"), "other").groupBy("node").agg(F.sum("weight").alias("beyond"))
+    """(vec_id, n_links, component_id, kept) for each row."""
+    with store.scope():
+        return _near_duplicate_vectors(vectors, reach, id_col, vec_col, label_col)
+
+
+def _near_duplicate_vectors(vectors: DataFrame, reach: float, id_col: str, vec_col: str, label_col: str) -> DataFrame:
+    labelled = vectors.filter(F.col(label_col).isNotNull()).withColumn("label", F.xxhash64(F.col(label_col)))
+    # Copies of one vector may be a third of all rows, so they are gathered, and told their node, in parts.
+    rows = store.write_table(usable(labelled, id_col, vec_col, "label").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(COPY_PARTS))), "vectors").df
+    partial = store.write_table(rows.groupBy("label", "vec", "part").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")), "copies").df
+    nodes = store.write_table(partial.groupBy("label", "vec").agg(F.min("low").alias("node"), F.sum("n").alias("weight")), "nodes").df
+    counted, joined_by, _ = links(nodes, reach)
     # A node is its smallest id, so the smallest node of a component is the smallest id.
-    roots = graph.components(pairs)
+    roots = graph.components(joined_by)
     least = roots.groupBy("root").agg(F.min("node").alias("component_id"))
-    of_node = nodes.join(sums, "node", "left").join(roots.join(least, "root").select("node", "component_id"), "node", "left")
-    of_node = of_node.select("label", "vec", (F.coalesce("beyond", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "node").alias("component_id"))
-    found = rows.join(of_node, ["label", "vec"]).select(F.col("id").alias("vec_id"), "n_links", "component_id")
-    out = every.join(found, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    of_node = nodes.join(counted, "node", "left").join(roots.join(least, "root").select("node", "component_id"), "node", "left")
+    of_node = of_node.select("label", "vec", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "node").alias("component_id"))
+    of_part = partial.select("label", "vec", "part").join(of_node, ["label", "vec"])
+    found = store.write_table(rows.join(of_part, ["label", "vec", "part"]).select(F.col("id").alias("vec_id"), "n_links", "component_id"), "linked").df
+    # The rest links with nothing: as many rows of an id as the table has beyond those found.
+    all_ids = vectors.groupBy(F.col(id_col).cast("long").alias("vec_id")).agg(F.count(F.lit(1)).alias("all"))
+    used = found.groupBy(F.col("vec_id").alias("_used")).agg(F.count(F.lit(1)).alias("n"))
+    rest = all_ids.join(used, F.col("vec_id").eqNullSafe(F.col("_used")), "left").select("vec_id", (F.col("all") - F.coalesce("n", F.lit(0))).alias("left")).filter("left > 0")
+    alone = rest.select("vec_id", F.explode(F.expr("array_repeat(0L, cast(left as int))")).alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = found.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return store.write_table(out, "neardup").keep().df

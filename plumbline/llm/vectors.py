@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 def usable(vectors: DataFrame, id_col: str, vec_col: str, *more: str) -> DataFrame:
     """(id, vec, *more): rows with an id and a vector without null or non-finite components that isn't zero.
 
-    One row per id: of rows that repeat an id, the one with the smallest vector. Vectors of another
-    length than the longest are left out.
+    Vectors are compared with those of their length only; a table's length is that of most usable rows (of the
+    longer one, if two are as frequent), and rows of another length are left out like unusable ones.
     """
     v = F.col(vec_col)
     ok = v.isNotNull() & F.col(id_col).isNotNull() & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     out = vectors.filter(ok).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), *more)
-    longest = out.agg(F.max(F.size("vec")).alias("n")).first()["n"] or 0
-    return out.filter(F.size("vec") == longest).groupBy("id").agg(F.min(F.struct("vec", *more)).alias("x")).select("id", "x.*")
+    length = out.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    return out.filter(F.size("vec") == (length["n"] if length else 0))
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:

@@ -30,27 +30,45 @@ def usable(rows):
     return {r[0]: (np.array(r[1], np.float64), r[2]) for r in rows if r[0] is not None and r[1] is not None and None not in r[1] and np.isfinite(r[1]).all() and any(r[1])}
 
 
-def test_embedding_links_equal_brute_force(spark):
-    rows, df = vectors(spark)
-    good = {i: v for i, v in usable(rows).items() if v[1] is not None}
-    ids = sorted(good)
-    x = np.stack([good[i][0] for i in ids])
-    lab = np.array([good[i][1] for i in ids])
+def brute_links(rows, reach=0.93):
+    """(vec_id, n_links, component_id, kept) for each row, by all pairs of rows."""
+    size = len(max((r[1] for r in rows if r[1]), key=lambda v: sum(len(r[1] or ()) == len(v) for r in rows)))
+    good = [k for k, r in enumerate(rows) if r[0] is not None and r[2] is not None and r[1] is not None and len(r[1]) == size and None not in r[1] and np.isfinite(r[1]).all() and any(r[1])]
+    x = np.array([rows[k][1] for k in good], np.float64)
     norm = np.sqrt((x * x).sum(1))
-    link = ((x @ x.T) / (norm[:, None] * norm[None]) >= 0.93 - 1e-12) & (lab[:, None] == lab[None])
+    lab = np.array([rows[k][2] for k in good])
+    link = ((x @ x.T) / (norm[:, None] * norm[None]) >= reach - 1e-12) & (lab[:, None] == lab[None])
     np.fill_diagonal(link, False)
-    comp = {i: i for i in {r[0] for r in rows if r[0] is not None}}
-    changed = True
-    while changed:
-        changed = False
-        for a, b in zip(*np.nonzero(link)):
-            m = min(comp[ids[a]], comp[ids[b]])
-            if comp[ids[a]] != m or comp[ids[b]] != m:
-                comp[ids[a]] = comp[ids[b]] = m
-                changed = True
-    want = sorted((i, int(link[ids.index(i)].sum()) if i in good else 0, comp[i], comp[i] == i) for i in comp)
-    got = embdup.near_duplicate_vectors(df).collect()
-    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == want
+    least = np.array([rows[k][0] for k in good])
+    while True:
+        low = np.minimum(least, np.where(link, least[None], least[:, None]).min(1))
+        if (low == least).all():
+            break
+        least = low
+    found = {k: (int(link[i].sum()), int(least[i])) for i, k in enumerate(good)}
+    return sorted(map(repr, ((r[0], *found.get(k, (0, r[0])), r[0] is None or found.get(k, (0, r[0]))[1] == r[0]) for k, r in enumerate(rows))))
+
+
+def linked(df):
+    return sorted(map(repr, ((r.vec_id, r.n_links, r.component_id, r.kept) for r in embdup.near_duplicate_vectors(df).collect())))
+
+
+@pytest.mark.parametrize("shard,part", [(1024, 2048), (32, 24)])
+def test_embedding_links_equal_brute_force(spark, monkeypatch, shard, part):
+    monkeypatch.setattr(embdup, "SHARD", shard)
+    monkeypatch.setattr(embdup, "PART", part)
+    rows, df = vectors(spark)
+    assert linked(df) == brute_links(rows)
+
+
+def test_lengths_labels_and_one_large_component(spark):
+    rng = np.random.default_rng(8)
+    steps = np.cumsum(rng.normal(size=(300, 12)) * 0.09, 0) + rng.normal(size=12) * 3
+    rows = [(i, [float(c) for c in v], 1, "k", 7) for i, v in enumerate(steps)]
+    rows += [(1000 + i, [1.0] * (40 + i), 1, "k", 7) for i in range(3)] + [(2000, [1e9] * 12, 1, None, None), (2001, [1e-30] * 12, 1, None, None), (None, [1.0] * 12, 1, None, None), (None, None, None, None, None)]
+    assert linked(spark.createDataFrame(rows, VEC).repartition(3)) == brute_links(rows)
+    none = [(i, r[1], None, None, None) for i, r in enumerate(rows[:20])]
+    assert linked(spark.createDataFrame(none, VEC)) == brute_links(none + [(99, [1.0] * 12, 1, None, None)])[:20]
 
 
 def test_links_of_tight_groups_beyond_a_list(spark, monkeypatch):
@@ -105,25 +123,6 @@ def test_few_and_no_vectors(spark):
     assert nearest.nearest(none).count() == 0 and embdup.near_duplicate_vectors(none).count() == 0
 
 
-def test_pruned_graph_is_searched_in_range():
-    x = np.random.default_rng(1).normal(size=(400, 8)).astype(np.float32)
-    x[:150] = x[0] + np.random.default_rng(2).normal(size=(150, 8)) * 0.05
-    x /= np.sqrt((x * x).sum(1, keepdims=True))
-    nb = embdup.pruned(x)
-    both = [set() for _ in x]
-    for a in range(len(x)):
-        for b in nb[a]:
-            if b >= 0:
-                both[a].add(int(b))
-                both[b].add(a)
-    adjacency = np.full((len(x), max(map(len, both))), -1)
-    for a, s in enumerate(both):
-        adjacency[a, : len(s)] = sorted(s)
-    q, m = embdup.search(x, adjacency, x, 0.93, 12)
-    true = int((x @ x.T >= 0.93).sum())
-    assert len(set(zip(q.tolist(), m.tolist()))) == len(q) and len(q) >= 0.99 * true
-
-
 def test_main_text(spark):
     page = '<html><head><title>T</title><script>x("<p>no</p>")</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><!-- <p>gone</p> --><div class="ad">Buy now</div><article><h1>Big &amp; small</h1><p>First   block\n of <i>text</i>, long enough &lt;ok&gt;.</p><p><b>Second block.<br><p>Third &eacute; one, with words in it.</p></article><div class="comments"><p>I like it</p></div><footer>&copy; me</footer></body></html>'
     df = spark.createDataFrame([(1, "u", page, 3), (2, None, None, 3), (3, "u", "", 3), (None, "u", page, 3), (4, "u", "<nav>" + "<a href=x>m</a>" * 50, 3)], "page_id long, url string, html string, n_chars int")
