@@ -8,11 +8,19 @@ the sample of names it gets is of that size too, so no node meets more than a fi
 
 Search. Each query starts at entry points (a bounded sample of nodes). Every round the nearest unexpanded
 nodes of its beam are joined with the adjacency table, whose rows hold the neighbours' vectors, measured,
-and merged into the beam, until no beam has an unexpanded node. The best of the beam are measured again in
-double precision on the original vectors. Beams are written tables between rounds.
-
-Null, zero and non-finite vectors and null ids take no part; of rows that repeat an id one counts. With
-fewer candidates than ``k`` all are returned. Ties go to the smaller id. An empty table gives no rows.
+and merged into the beam, until no beam has an unexpanded node. The first round, which all queries share,
+takes its rows of the adjacency table from a broadcast (``ENTRIES`` rows at most). The best of the beam are
+measured again in double precision on the original vectors. Beams are written tables between rounds.
+
+Audit. A sample of queries is first measured against all rows; the beam doubles until their recall reaches
+``RECALL``, and with that beam all queries are searched. If the widest falls short, all queries are measured
+against all rows in blocks.
+
+Graph and search hold vectors less a median vector, each in half precision with a scale of its own, so that a
+few large vectors leave the others their digits. Null, zero and non-finite vectors, vectors of another length
+than most and null ids take no part. Rows that repeat an id are candidates each; a query's own id is none of
+its neighbours. With fewer candidates than ``k`` all are returned. Ties go to the smaller id. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +38,8 @@ from plumbline.llm.vectors import binary_rows, blobs, by_groups, matrix, ragged,
 DEGREE, ROUNDS, TREES, BUCKET = 16, 4, 4, 96
 BEAM, WIDTH, ENTRIES, RERANK = 448, 112, 1024, 64
 MEMBERS = 12
+AUDIT, RECALL, WIDEST, BLOCK = 64, 0.95, 8, 2048
+STATE = "q long, v binary, ids binary, dists binary, done binary"
 
 
 def _nodes(vectors: DataFrame, members: int) -> DataFrame:
@@ -38,15 +48,31 @@ def _nodes(vectors: DataFrame, members: int) -> DataFrame:
     return one.groupBy("vec").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, members).alias("members")).select(F.col("members")[0].alias("node"), "vec", "members")
 
 
-def _small(batches: Iterable[pa.RecordBatch], scale: float) -> Iterator[pa.RecordBatch]:
+def packed_rows(x: np.ndarray) -> pa.Array:
+    """Rows as a float32 scale and float16 shares of it; scales stay where squares of them are finite."""
+    scale = np.clip(np.abs(x).max(1, keepdims=True, initial=0), 1e-18, 1e18)
+    share = np.clip(x / scale, -1, 1).astype(np.float16)
+    return binary_rows(np.concatenate([scale.astype("<f4").view(np.uint8), share.view(np.uint8)], 1))
+
+
+def unpacked_rows(raw: np.ndarray) -> np.ndarray:
+    """The rows of ``packed_rows`` from a matrix of bytes."""
+    if not raw.size:
+        return np.zeros((len(raw), 0), np.float32)
+    scale = np.ascontiguousarray(raw[:, :4]).view("<f4")
+    return np.ascontiguousarray(raw[:, 4:]).view(np.float16).astype(np.float32) * scale
+
+
+def _small(batches: Iterable[pa.RecordBatch], center: np.ndarray) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("node"), binary_rows((matrix(b.column("vec")) / scale).astype(np.float16))], ["node", "v"])
+        if b.num_rows:
+            yield pa.RecordBatch.from_arrays([b.column("node"), packed_rows(matrix(b.column("vec")) - center)], ["node", "v"])
 
 
 def _planes(batches: Iterable[pa.RecordBatch], planes: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(tree, bucket, node, v): the signs of random projections name a bucket in each tree."""
     for b in batches:
-        x = blobs(b.column("v"), np.float16).astype(np.float32)
+        x = unpacked_rows(blobs(b.column("v"), np.uint8))
         for tree, p in enumerate(planes):
             bits = (x @ p > 0) @ (1 << np.arange(p.shape[1], dtype=np.int64)) if p.shape[1] else np.zeros(len(x), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(bits * len(planes) + tree), b.column("node"), b.column("v")], ["bucket", "node", "v"])
@@ -75,7 +101,7 @@ def _propose(table: pa.Table, key: str, most: int) -> Iterator[pa.RecordBatch]:
     table = table.combine_chunks()
     k = table[key].to_numpy()
     node = table["node"].to_numpy()
-    x = blobs(table["v"].chunk(0) if table.num_rows else pa.array([], pa.binary()), np.float16)
+    x = unpacked_rows(blobs(table["v"].chunk(0) if table.num_rows else pa.array([], pa.binary()), np.uint8))
     limit = table["limit"].to_numpy() if "limit" in table.column_names else np.full(len(k), np.inf, np.float32)
     fresh = table["fresh"].to_numpy(zero_copy_only=False) if "fresh" in table.column_names else np.ones(len(k), bool)
     cut = np.append(np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])), len(k))
@@ -93,7 +119,7 @@ def _propose(table: pa.Table, key: str, most: int) -> Iterator[pa.RecordBatch]:
         at = a + first
         new = np.zeros(len(own), bool)
         np.logical_or.at(new, np.searchsorted(own, node[a:b]), fresh[a:b])
-        got = _proposals(own, x[at].astype(np.float32), limit[at], new, most)
+        got = _proposals(own, x[at], limit[at], new, most)
         if len(got[0]):
             out.append(got)
             size += len(got[0])
@@ -194,10 +220,10 @@ def _pack(table: pa.Table) -> Iterator[pa.RecordBatch]:
 
 def _start(batches: Iterable[pa.RecordBatch], entry: tuple[np.ndarray, np.ndarray], beam: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        q = blobs(b.column("v"), np.float16).astype(np.float32)
+        q = unpacked_rows(blobs(b.column("v"), np.uint8))
         if not len(q):
             continue
-        d = _distances(q, entry[1].astype(np.float32))
+        d = _distances(q, entry[1])
         d[b.column("node").to_numpy()[:, None] == entry[0][None]] = 0
         order = np.argsort(d, 1, kind="stable")[:, :beam]
         yield pa.RecordBatch.from_arrays([b.column("node"), b.column("v"), binary_rows(entry[0][order]), binary_rows(np.take_along_axis(d, order, 1).astype(np.float32)), binary_rows(np.zeros(order.shape, np.uint8))], ["q", "v", "ids", "dists", "done"])
@@ -220,10 +246,10 @@ def _measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        q = blobs(b.column("v"), np.float16).astype(np.float32)
+        q = unpacked_rows(blobs(b.column("v"), np.uint8))
         ids, cut = ragged(b.column("ids"), np.int64)
-        v, _ = ragged(b.column("vs"), np.float16)
-        x = v.reshape(len(ids), -1).astype(np.float32)
+        v, _ = ragged(b.column("vs"), np.uint8)
+        x = unpacked_rows(v.reshape(len(ids), -1))
         at = np.repeat(np.arange(len(q)), np.diff(cut))
         d = ((x - q[at]) ** 2).sum(1, dtype=np.float32)
         make = lambda y, size: pa.Array.from_buffers(pa.binary(), len(q), [None, pa.py_buffer((cut * size).astype(np.int32)), pa.py_buffer(y.tobytes())])
@@ -260,35 +286,126 @@ def _best(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("q").to_numpy(), [len(x) for x in take])), pa.array(np.concatenate(take) if take else np.zeros(0, np.int64))], ["q", "node"])
 
 
-def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vec_col: str = "embedding", degree: int = DEGREE, rounds: int = ROUNDS, beam: int = BEAM, width: int = WIDTH) -> DataFrame:
+def _exact(batches: Iterable[pa.RecordBatch], asked: np.ndarray, x: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """(q, node, d): the ``k`` nearest of each batch's nodes to each asked node, which is none itself."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        node, y = b.column("node").to_numpy(), matrix(b.column("vec"))
+        for a in range(0, len(asked), 64):
+            d = np.stack([np.sqrt(((y - q) ** 2).sum(1)) for q in x[a : a + 64]])
+            d[asked[a : a + 64, None] == node[None]] = np.inf
+            at = np.argpartition(d, min(k, len(node)) - 1, axis=1)[:, :k]
+            q = np.repeat(asked[a : a + 64], at.shape[1])
+            dist = np.take_along_axis(d, at, 1).ravel()
+            ok = dist < np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(q[ok]), pa.array(node[at.ravel()[ok]]), pa.array(dist[ok])], ["q", "node", "d"])
+
+
+def _all_rows(nodes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(q, node): the ``k`` nearest nodes of each asked node, which is a nearest node too, by measuring all rows."""
+    found = asked.toPandas()
+    if not len(found):
+        return nodes.select(F.col("node").alias("q"), "node").limit(0)
+    name, x = found["node"].to_numpy(np.int64), np.stack([np.asarray(v, np.float64) for v in found["vec"]])
+    rows = nodes.select("node", "vec").mapInArrow(lambda it: _exact(it, name, x, k), "q long, node long, d double")
+    best = rows.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "node"))).filter(F.col("r") <= k)
+    own = nodes.sparkSession.createDataFrame([(int(n), int(n)) for n in name], "q long, node long")
+    return best.select("q", "node").unionByName(own)
+
+
+class Searcher:
+    """The graph of a table's nodes, with what all searches share."""
+
+    def __init__(self, nodes: DataFrame, small: DataFrame, lists: DataFrame, count: int, degree: int):
+        spark = nodes.sparkSession
+        self.small = small
+        edges = lists.mapInArrow(_edges, EDGES)
+        near = edges.select(F.col("u").alias("center"), F.col("w").alias("node")).unionByName(_named(edges, 2 * degree).select("center", "node")).distinct().join(small, "node")
+        parts = int(min(4000, max(12, count // 4000)))
+        packed = near.select("center", "node", "v").repartition(parts, "center").sortWithinPartitions("center").mapInArrow(lambda it: by_groups(it, "center", _pack), "node long, ids binary, vs binary")
+        self.adjacency = store.write_bucketed(packed, "adjacency", "node", parts).df
+        sample = small.orderBy(F.xxhash64("node"), "node").limit(ENTRIES).toPandas()
+        self.entry = (sample["node"].to_numpy(np.int64), unpacked_rows(np.frombuffer(b"".join(sample["v"]), np.uint8).reshape(len(sample), -1)))
+        names = spark.createDataFrame([(int(n),) for n in self.entry[0]], "node long")
+        self.first = store.write_table(self.adjacency.join(F.broadcast(names), "node", "left_semi"), "entries", "none").df
+
+    def search(self, asked: DataFrame, beam: int, width: int) -> DataFrame:
+        """(q, ids, ...): the beams of the asked nodes."""
+        entry = self.entry
+        begun = asked.select("node").distinct().join(self.small, "node").mapInArrow(lambda it: _start(it, entry, beam), STATE)
+        state, turn = store.write_table(begun.withColumn("open", F.lit(True)), "beam", "none"), 0
+        while not state.df.filter("open").isEmpty():
+            front = state.df.filter("open").mapInArrow(lambda it: _frontier(it, width), "node long, q long, v binary")
+            rows = front.join(F.broadcast(self.first), "node") if turn == 0 else front.hint("shuffle_hash").join(self.adjacency, "node")
+            found = rows.select("q", "v", "ids", "vs").mapInArrow(_measure, "q long, ids binary, dists binary")
+            found = found.groupBy("q").agg(F.collect_list(F.struct("ids", "dists")).alias("found"))
+            moved = state.df.join(found, "q", "left").select("q", "v", "ids", "dists", "done", "found").mapInArrow(lambda it: _advance(it, beam, width), f"{STATE}, open boolean")
+            old, state, turn = state, store.write_table(moved, "beam", "none"), turn + 1
+            old.drop()
+        return state.df
+
+
+def _recall(best: DataFrame, exact: DataFrame, nodes: DataFrame, k: int) -> float:
+    """The share of the ``k`` nearest nodes that are found, by distance, so that ties count alike."""
+    far = _scored(exact, nodes).filter("q <> node").groupBy("q").agg(F.max("score").alias("far"), F.count(F.lit(1)).alias("n"))
+    got = _scored(best, nodes).filter("q <> node").join(far, "q").groupBy("q", "n").agg(F.least("n", F.count_if(F.col("score") <= F.col("far"))).alias("got"))
+    sums = far.join(got.select("q", "got"), "q", "left").agg(F.sum("n").alias("n"), F.sum("got").alias("got")).first()
+    return (sums["got"] or 0) / sums["n"] if sums["n"] else 1.0
+
+
+def _scored(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(q, node, members, score) of pairs (q, node): distances of the original vectors."""
+    rows = pairs.join(nodes.select("node", "vec", "members"), "node").join(nodes.select(F.col("node").alias("q"), F.col("vec").alias("qvec")), "q")
+    return rows.select("q", "node", "members", F.sqrt(F.aggregate(F.zip_with("vec", "qvec", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)).alias("score"))
+
+
+def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vec_col: str = "embedding", degree: int = DEGREE, rounds: int = ROUNDS, beam: int = BEAM, width: int = WIDTH, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row whose id is divisible by ``every``; score is the Euclidean distance."""
+    with store.scope():
+        return _nearest(vectors, k, every, id_col, vec_col, degree, rounds, beam, width, recall)
+
+
+def _nearest(vectors: DataFrame, k: int, every: int, id_col: str, vec_col: str, degree: int, rounds: int, beam: int, width: int, recall: float) -> DataFrame:
     rows = usable(vectors, id_col, vec_col)
     nodes = store.write_table(_nodes(rows, max(MEMBERS, k + 1)), "nodes").df
-    top = nodes.agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max(F.transform("vec", lambda x: F.abs(x)))).alias("m"), F.max(F.size("vec")).alias("d")).first()
-    scale = (top["m"] or 1.0) / 4
-    small = store.write_table(nodes.select("node", "vec").mapInArrow(lambda it: _small(it, scale), "node long, v binary"), "small", "none").df
-    lists = build(nodes, small, top["n"], top["d"] or 0, degree, rounds)
-    edges = lists.mapInArrow(_edges, EDGES)
-    near = edges.select(F.col("u").alias("center"), F.col("w").alias("node")).unionByName(_named(edges, 2 * degree).select("center", "node")).distinct().join(small, "node")
-    parts = int(min(4000, max(12, top["n"] // 4000)))
-    packed = near.select("center", "node", "v").repartition(parts, "center").sortWithinPartitions("center").mapInArrow(lambda it: by_groups(it, "center", _pack), "node long, ids binary, vs binary")
-    adjacency = store.write_bucketed(packed, "adjacency", "node", parts).df
-
-    asked = rows.filter(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "vec")
-    asked = store.write_table(asked.join(nodes.select("vec", "node"), "vec").select("query_id", "node"), "asked").df
-    sample = small.orderBy(F.xxhash64("node"), "node").limit(ENTRIES).toPandas()
-    entry = (sample["node"].to_numpy(np.int64), np.frombuffer(b"".join(sample["v"]), np.float16).reshape(len(sample), top["d"] or 0))
-    state = store.write_table(asked.select("node").distinct().join(small, "node").mapInArrow(lambda it: _start(it, entry, beam), "q long, v binary, ids binary, dists binary, done binary").withColumn("open", F.lit(True)), "beam", "none")
-    while not state.df.filter("open").isEmpty():
-        front = state.df.filter("open").mapInArrow(lambda it: _frontier(it, width), "node long, q long, v binary")
-        found = front.hint("shuffle_hash").join(adjacency, "node").select("q", "v", "ids", "vs").mapInArrow(_measure, "q long, ids binary, dists binary")
-        found = found.groupBy("q").agg(F.collect_list(F.struct("ids", "dists")).alias("found"))
-        moved = state.df.join(found, "q", "left").select("q", "v", "ids", "dists", "done", "found").mapInArrow(lambda it: _advance(it, beam, width), "q long, v binary, ids binary, dists binary, done binary, open boolean")
-        old, state = state, store.write_table(moved, "beam", "none")
-        old.drop()
-    best = state.df.select("q", "ids").mapInArrow(lambda it: _best(it, max(RERANK, 2 * k)), "q long, node long")
-    best = best.join(nodes.select("node", "vec", "members"), "node").join(nodes.select(F.col("node").alias("q"), F.col("vec").alias("qvec")), "q")
-    score = F.sqrt(F.aggregate(F.zip_with("vec", "qvec", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x))
-    pairs = asked.join(best.select("q", "members", score.alias("score")), asked["node"] == F.col("q")).select("query_id", F.explode("members").alias("vec_id"), "score").filter("vec_id <> query_id")
+    count = nodes.count()
+    if not count:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(ENTRIES).select("vec").toPandas()["vec"]
+    center = np.median(np.stack([np.asarray(v, np.float64) for v in sample]), 0) if len(sample) else np.zeros(0)
+    # Copies may be a third of all rows: a query finds its node by the node's smallest ids, or, if it is not
+    # among these, by its vector.
+    ids = rows.filter(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "vec").distinct()
+    named = nodes.select("node", F.explode("members").alias("query_id")).filter(F.col("query_id") % every == 0).distinct()
+    direct = ids.join(named, "query_id").join(nodes.select("node", F.col("vec").alias("_v")), "node").filter(F.col("vec") == F.col("_v")).select("query_id", "node")
+    others = ids.join(direct, "query_id", "left_anti").join(nodes.select("vec", "node"), "vec").select("query_id", "node")
+    asked = store.write_table(direct.unionByName(others), "asked").df
+    targets = store.write_table(asked.select("node").distinct().join(nodes.select("node", "vec"), "node"), "targets").df
+    audited = targets.orderBy(F.xxhash64("node", F.lit(11)), "node").limit(AUDIT)
+    small = store.write_table(nodes.select("node", "vec").mapInArrow(lambda it: _small(it, center), "node long, v binary"), "small", "none").df
+    lists = build(nodes, small, count, len(center), degree, rounds)
+    graph = Searcher(nodes, small, lists, count, degree)
+    most = max(RERANK, 2 * k)
+    exact = store.write_table(_all_rows(nodes, audited, k), "exact").df
+    wide = 1
+    while True:
+        size, step = beam * wide, width * wide
+        tried = store.write_table(graph.search(audited, size, step).select("q", "ids").mapInArrow(lambda it: _best(it, most), "q long, node long"), "tried").df
+        reached = _recall(tried, exact, nodes, k) >= recall
+        if reached or wide >= WIDEST:
+            break
+        wide *= 2
+    if reached:
+        best = graph.search(targets.select("node"), size, step).select("q", "ids").mapInArrow(lambda it: _best(it, most), "q long, node long")
+    else:
+        # The graph falls short: the stated queries against all rows, in blocks.
+        blocks = -(-targets.count() // BLOCK)
+        best = None
+        for i in range(blocks):
+            part = store.write_table(_all_rows(nodes, targets.filter(F.pmod(F.xxhash64("node"), F.lit(blocks)) == i), k), "block").df
+            best = part if best is None else best.unionByName(part)
+    pairs = asked.join(_scored(best, nodes), asked["node"] == F.col("q")).select("query_id", F.explode("members").alias("vec_id"), "score").filter("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return pairs.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = pairs.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return store.write_table(out, "nearest").keep().df

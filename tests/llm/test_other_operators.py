@@ -116,6 +116,45 @@ def test_nearest_neighbours_reach_the_recall(spark):
     assert hit >= 0.9 * 10 * len(asked)
 
 
+def found_share(rows, got, k=10):
+    """The share of each query's true k nearest distances that are reached."""
+    good = usable(rows)
+    ids = np.array(sorted(good))
+    x = np.stack([good[i][0] for i in ids])
+    share = []
+    for q in [i for i in good if i % 100 == 0]:
+        d = np.sqrt(((x - good[q][0]) ** 2).sum(1))
+        far = np.sort(d[ids != q])[:k][-1]
+        share.append(sum(r.score <= far * (1 + 1e-12) for r in got if r.query_id == q) / min(k, len(ids) - 1))
+    return float(np.mean(share))
+
+
+def test_nearest_neighbours_beside_large_far_and_shifted_vectors(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2000, 16)) + 1000
+    x[7] = 1e9
+    x[8] = 1e-9
+    rows = [(i, [float(c) for c in v], 1, "k", 7) for i, v in enumerate(x)] + [(5000 + i, [1.0] * 17, 1, None, None) for i in range(3)]
+    got = nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, kept string, rank int").repartition(3)).collect()
+    assert found_share(rows[:2000], got) >= 0.95 and {r.query_id for r in got} == set(range(0, 2000, 100))
+
+
+def test_nearest_neighbours_by_blocks_if_the_graph_falls_short(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "WIDEST", 1)
+    monkeypatch.setattr(nearest, "BLOCK", 3)
+    rows, df = vectors(spark, n=1200)
+    got = nearest.nearest(df, beam=10, width=1, degree=2, rounds=0, recall=1.01).collect()
+    assert found_share(rows, got) == 1.0
+
+
+def test_ties_beyond_the_members_of_a_node(spark):
+    rows = [(i, [1.0, 2.0], 1, None, None) for i in range(0, 400)] + [(1000 + i, [3.0, float(i)], 1, None, None) for i in range(50)]
+    got = nearest.nearest(spark.createDataFrame(rows, VEC).repartition(3)).orderBy("query_id", "rank").collect()
+    for q in (0, 100, 200, 300):
+        assert [(r.rank, r.vec_id, r.score) for r in got if r.query_id == q] == [(k + 1, v, 0.0) for k, v in enumerate([i for i in range(11) if i != q][:10])]
+    assert len([r for r in got if r.query_id == 1000]) == 10
+
+
 def test_few_and_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 1, None, None), (1, [0.0, 1.0], 1, None, None), (2, [1.0, 0.1], 1, None, None)], VEC)
     assert [(r.rank, r.vec_id) for r in nearest.nearest(df).orderBy("rank").collect()] == [(1, 2), (2, 1)]
