@@ -88,6 +88,51 @@ def verify(claims: DataFrame, facts: DataFrame) -> DataFrame:
     return c.withColumn("status", status).drop("_pool", "_numbers", "_fact")
 
 
+def tally(judged: DataFrame, status: str = "status") -> DataFrame:
+    """(status, n)."""
+    return judged.groupBy(status).agg(F.count(F.lit(1)).alias("n"))
+
+
+def find_quotes(quotes: DataFrame, pages: DataFrame, text: str = "text") -> DataFrame:
+    """``quotes`` (quote, page) with found_page: the page, or a neighbour of it, whose text has the quote's words.
+
+    An equi-join on the page and both neighbours; white space and case don't matter. Null where none has it.
+    """
+    plain = lambda c: F.trim(F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " ")))
+    near = quotes.select(plain(F.col("quote")).alias("_w"), "page", F.explode(F.array(*[F.col("page") + i for i in (0, -1, 1)])).alias("_p"))
+    held = pages.select(F.col("page").alias("_p"), plain(F.col(text)).alias("_t"))
+    hit = near.join(held, "_p").filter((F.col("_w") != "") & F.contains(F.concat(F.lit(" "), F.col("_t"), F.lit(" ")), F.concat(F.lit(" "), F.col("_w"), F.lit(" "))))
+    best = hit.groupBy("_w", "page").agg(F.min_by("_p", F.struct(F.abs(F.col("_p") - F.col("page")), F.col("_p"))).alias("found_page"))
+    out = quotes.withColumn("_w", plain(F.col("quote")))
+    return out.join(best, ["_w", "page"], "left").select(*quotes.columns, "found_page")
+
+
+def verify_paper(said: DataFrame, pages: DataFrame) -> DataFrame:
+    """``said`` (text, quote, page) with found_page and status.
+
+    unsupported without a quote on the page or beside it; mismatch if the text has a number that the quote lacks; else verified.
+    """
+    found = find_quotes(said, pages)
+    lacking = F.exists(written_numbers(F.col("text")), lambda n: ~F.exists(written_numbers(F.col("quote")), lambda m: _agrees(n, m["value"])))
+    return found.withColumn("status", F.when(F.col("found_page").isNull(), "unsupported").when(lacking, "mismatch").otherwise("verified"))
+
+
+def problems(judged: DataFrame) -> DataFrame:
+    """(text, problem) of the claims that aren't verified, for a review."""
+    return judged.filter(~F.col("status").isin("verified", "qualitative")).select("text", F.concat(F.col("status"), F.lit(": "), F.col("text")).alias("problem"))
+
+
+def valid_boxes(boxes: DataFrame) -> DataFrame:
+    """``boxes`` (x, y, w, h as shares of a picture) with valid: all inside, with an area."""
+    inside = (F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("w") > 0) & (F.col("h") > 0) & (F.col("x") + F.col("w") <= 1) & (F.col("y") + F.col("h") <= 1)
+    return boxes.withColumn("valid", F.coalesce(inside, F.lit(False)))
+
+
+def scores(results: DataFrame) -> DataFrame:
+    """(case, n, passed, score): the share of each case's checks that passed, from rows (case, check, passed)."""
+    return results.groupBy("case").agg(F.count(F.lit(1)).alias("n"), F.count_if("passed").alias("passed"), F.round(F.avg(F.col("passed").cast("double")), 4).alias("score"))
+
+
 def facts_table(spark: SparkSession, tree: dict, most: int = MOST_FACTS) -> DataFrame:
     """(path, value, text) of a nested result, in order, ``most`` at most; see ``fact_paths``."""
     number = lambda v: float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None

@@ -134,3 +134,27 @@ def lag1_autocorrelation(points: DataFrame) -> DataFrame:
     prior = b.groupBy("_b").agg(F.max_by("v", "s").alias("_v")).withColumn("_before", F.lag("_v").over(Window.orderBy("_b"))).select("_b", "_before")
     w = Window.partitionBy("_b").orderBy("s")
     return b.join(prior, "_b").select("v", F.coalesce(F.lag("v").over(w), F.col("_before")).alias("p")).agg(F.corr("v", "p").alias("r1"))
+
+
+def date_runs(df: DataFrame, keys: list[str], day: str, gap: int = 62) -> DataFrame:
+    """(keys, start, end, n): runs of days whose neighbours lie at most ``gap`` days apart."""
+    w = Window.partitionBy(*keys).orderBy(day)
+    d = df.filter(F.col(day).isNotNull()).select(*keys, F.to_date(day).alias(day)).distinct()
+    d = d.withColumn("_new", F.when(F.datediff(day, F.lag(day).over(w)) <= gap, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w))
+    return d.groupBy(*keys, "_run").agg(F.min(day).alias("start"), F.max(day).alias("end"), F.count(F.lit(1)).alias("n")).drop("_run")
+
+
+def monthly_counts(df: DataFrame, time: str, key: str | None = None) -> DataFrame:
+    """Rows per calendar month (and key): the sums of ``daily_counts``."""
+    keys = [key] if key else []
+    return daily_counts(df, time, key).groupBy(*keys, F.trunc("day", "month").alias("month")).agg(F.sum("n").alias("n"))
+
+
+def subsample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """``n`` rows by a seeded hash of their key, the same on every run; a top-n, so no task sorts all rows."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
+
+
+def default_period(coverage: DataFrame, years: int = 10) -> DataFrame:
+    """(start_s, end_s): the last ``years`` years of a record, or all of a shorter one."""
+    return coverage.select(F.greatest("start_s", F.col("end_s") - years * 365.25 * 86400).alias("start_s"), "end_s")

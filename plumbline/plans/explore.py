@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.expr import human_delta, without_sentinels
-from plumbline.operators import documents, profile, rules, series, spatial, trend
+from plumbline.functions.expr import decimal_year, human_delta, without_sentinels
+from plumbline.operators import documents, fields, profile, rules, series, spatial, trend
 from plumbline.sources import files, registry
 from plumbline.sources.registry import Dataset, Options
 
@@ -130,12 +130,16 @@ def analyze_table(df: DataFrame, options: Options) -> dict:
                     out["events"]["hotspots"] = _rows(spatial.hotspots(kept, lon, lat))
             if columns:
                 long = kept.select("_time", F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns[:MOST_TRENDS]])).alias("x")).select(F.col("x.key").alias("key"), F.to_date("_time").alias("t"), F.col("x.v").alias("v"))
-                out["trends"] = _rows(trend.trends(long.filter("t IS NOT NULL AND v IS NOT NULL")))
+                found = trend.trends(long.filter("t IS NOT NULL AND v IS NOT NULL"))
+                out["trends"] = _rows(found)
+                out["trend_text"] = _rows(rules.trend_wording(found))
         out["categories"] = _rows(profile.categories(kept, text)) if text else []
         out["correlations"] = _rows(profile.top_correlations(kept, columns)) if len(columns) > 1 else []
         out["quality"] = _rows(rules.value_issues(profile.numeric_stats(kept, columns))) if columns else []
         if time:
             out["quality"] += _rows(rules.coverage_issues(series.time_coverage(kept, "_time")))
+            if columns:
+                out["quality"] += _rows(rules.trend_issues(found))
         if lat:
             out["quality"] += _rows(rules.place_issues(kept.agg(F.min(lon).alias("west"), F.min(lat).alias("south"), F.max(lon).alias("east"), F.max(lat).alias("north"))))
         return out
@@ -160,14 +164,54 @@ def analyze_document(df: DataFrame, options: Options) -> dict:
     return {"summary": words, "keywords": _rows(documents.keywords(df)), "study_period": documents.study_period(df, "text").first().asDict(), "quantities": [r["quantity"] for r in documents.quantities(df, "page", "text").limit(40).collect()], "quality": _rows(rules.document_issues(df, "page", "text"))}
 
 
-ANALYZERS = {"table": analyze_table, "grid": analyze_grid, "document": analyze_document}
+def analyze_field(df: DataFrame, options: Options, meta: dict | None = None) -> dict:
+    """A variable on a grid: statistics, box, the series of area means with its trend, and trends of pixels.
+
+    A field without time whose name or attributes say elevation gets the terrain's figures.
+    """
+    meta = meta or {}
+    if options.bbox:
+        df = series.in_box(df.withColumn("x", F.when(F.col("x") > 180, F.col("x") - 360).otherwise(F.col("x"))), "x", "y", options.bbox)
+    if "t" in df.columns and (options.start or options.end):
+        df = series.between(df, "t", options.start or "0001-01-01", options.end or "9999-12-31", True)
+    kept = df.cache()
+    try:
+        value = kept.select(F.col("value").alias(meta.get("variable") or "value"))
+        stats = profile.numeric_stats(value, value.columns)
+        out: dict = {"summary": {"n_cells": kept.count(), "dimensions": meta.get("dims", {})}, "statistics": _rows(stats), "bands": _rows(fields.band_statistics(kept).orderBy("var")), "coverage_place": fields.box_of(kept).first().asDict(), "quality": _rows(rules.value_issues(stats.withColumn("units", F.lit(meta.get("units") or "")), "units"))}
+        out["quality"] += _rows(rules.place_issues(kept.agg(F.min("x").alias("west"), F.min("y").alias("south"), F.max("x").alias("east"), F.max("y").alias("north"))))
+        out["map_scale"] = fields.map_scale(kept, "value").first().asDict()
+        if "t" in kept.columns:
+            cover = series.time_coverage(kept, "t").first().asDict() | {"duplicate_times": 0}
+            out["coverage"] = cover | {"resolution": human_delta(cover["median_step_s"])}
+            means = fields.area_series(kept).filter("mean IS NOT NULL").select(F.lit(meta.get("variable") or "value").alias("key"), "t", F.col("mean").alias("v"))
+            found = trend.trends(means)
+            out["trends"] = _rows(found)
+            out["trend_text"] = [r["text"] for r in _rows(rules.trend_wording(found, meta.get("units") or ""))]
+            out["trend_map"] = fields.trend_map(kept.withColumn("year", decimal_year(F.col("t"))), "year").first().asDict()
+            out["quality"] += _rows(rules.trend_issues(found)) + _rows(rules.extreme_issues(series.extremes(means), (cover["median_step_s"] or 0) / 86400))
+            return out
+        said = df.sparkSession.createDataFrame([(" ".join([str(meta.get("variable")), *map(str, meta.get("attributes", {}).values())]), 2)], "said string, wide int")
+        if fields.roles(said, "said").first()["is_elevation"]:
+            out |= analyze_grid(kept.select("iy", "ix", "y", "x", F.col("value").alias("z")), Options())
+        return out
+    finally:
+        kept.unpersist()
+
+
+def analyze_image(df: DataFrame, options: Options) -> dict:
+    """Brightness, sharpness and colours of a picture."""
+    return {"image": spatial.image_metrics(df).first().asDict(), "colours": _rows(spatial.dominant_colours(df))}
+
+
+ANALYZERS = {"field": analyze_field, "image": analyze_image, "table": analyze_table, "grid": analyze_grid, "document": analyze_document}
 
 
 def analyze(found: Dataset, options: Options) -> dict:
     """The battery for the dataset's kind; what can't be read says why."""
     out = {"kind": found.kind, "reader": found.reader, "meta": found.meta, "problems": found.problems}
     if found.df is not None and found.kind in ANALYZERS:
-        out |= ANALYZERS[found.kind](found.df, options)
+        out |= ANALYZERS[found.kind](found.df, options, *([found.meta] if found.kind == "field" else []))
     elif found.kind == "binary":
         out["quality"] = [{"level": "error", "code": "unreadable"}]
     return out

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import expr
-from plumbline.operators import claims, documents, profile, rules, series, spatial, trend
+from plumbline.operators import claims, documents, fields, profile, rules, series, spatial, trend
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -450,7 +450,8 @@ def elevation_summary(spark, sf_dir):
     return spatial.elevation_summary(_dem(spark))
 
 
-@query()
+@query(f"""WITH g AS (SELECT iy, ix, {_GRADIENT('(PARTITION BY iy ORDER BY ix)', 30)} AS gx, {_GRADIENT('(PARTITION BY ix ORDER BY iy)', 30)} AS gy FROM {_DEM_SQL}), a AS (SELECT iy, ix, atan(sqrt(gx * gx + gy * gy)) AS slope, atan2(gy, -gx) AS aspect FROM g)
+SELECT iy, ix, round(greatest(0.0, least(1.0, sin(radians(45.0)) * cos(slope) + cos(radians(45.0)) * sin(slope) * cos(radians(135.0) - aspect))), 6) AS shade FROM a""")
 def hillshade(spark, sf_dir):
     return _rounded(spatial.hillshade(_dem(spark), 30.0, 30.0), "shade")
 
@@ -485,3 +486,80 @@ def image_metrics(spark, sf_dir):
 @query(f"WITH c AS (SELECT floor(r * 3.999)::INT * 16 + floor(g * 3.999)::INT * 4 + floor(b * 3.999)::INT AS code, count(*) AS n FROM {_PIXELS_SQL} GROUP BY 1), s AS (SELECT code, 100.0 * n / sum(n) OVER () AS share, row_number() OVER (ORDER BY n DESC, code)::INT AS rank FROM c) SELECT rank, code, round(share, 1)::DOUBLE AS share_pct FROM s WHERE rank <= 5 AND share >= 1")
 def dominant_colours(spark, sf_dir):
     return spatial.dominant_colours(_pixels(spark))
+
+
+# --- fields, runs and reviews ---
+
+
+@query(f"SELECT 'v' AS var, count(value)::BIGINT AS count, round(100.0 * avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END), 2)::DOUBLE AS missing_pct, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM {_GRID_SQL}")
+def band_statistics(spark, sf_dir):
+    return _rounded(fields.band_statistics(_grid(spark).withColumn("var", F.lit("v"))), "mean", "std")
+
+
+@query(f"WITH g AS (SELECT iy, ix, regr_slope(value, t) AS slope, regr_sxx(value, t) AS sxx, regr_syy(value, t) AS syy, count(*) AS n FROM {_GRID_SQL} WHERE value IS NOT NULL AND iy > 0 GROUP BY ALL), p AS (SELECT slope, slope / sqrt((syy - slope * slope * sxx) / (n - 2) / sxx) AS t FROM g WHERE n >= 8) SELECT count(*)::BIGINT AS n_pixels, round(quantile_cont(slope, 0.5), 6) AS median_slope, round(100.0 * avg((slope > 0)::INT), 2)::DOUBLE AS rising_pct, round(100.0 * avg((slope < 0)::INT), 2)::DOUBLE AS falling_pct, round(100.0 * avg((abs(t) > 2)::INT), 2)::DOUBLE AS significant_pct FROM p")
+def trend_map(spark, sf_dir):
+    return _rounded(fields.trend_map(_grid(spark).filter("iy > 0"), "t"), "median_slope")
+
+
+@query(" UNION ALL ".join(f"SELECT {base} AS baseline, count(*)::BIGINT AS n, round(quantile_cont(slope, 0.5), 6) AS median_slope, round(quantile_cont(slope, 0.9), 6) AS p90_slope FROM (SELECT degrees(atan(sqrt(gx * gx + gy * gy))) AS slope FROM (SELECT {_GRADIENT('(PARTITION BY iy ORDER BY ix)', 10 * f)} AS gx, {_GRADIENT('(PARTITION BY ix ORDER BY iy)', 10 * f)} AS gy FROM (SELECT iy // {f} AS iy, ix // {f} AS ix, avg(z) AS z FROM {_DEM_SQL} GROUP BY 1, 2 HAVING count(*) = {f * f}))) WHERE slope IS NOT NULL HAVING count(*) >= 500" for base, f in fields.factors(10.0, _SIDE)))
+def baseline_profile(spark, sf_dir):
+    return _rounded(fields.baseline_profile(_dem(spark), 10.0, _SIDE), "median_slope", "p90_slope")
+
+
+@query("WITH e AS (SELECT quantile_cont(value, 0.001) AS a, quantile_cont(value, 0.999) AS b FROM events) SELECT greatest(0, least(63, floor((value - a) / (b - a) * 64)))::INT AS bin, count(*)::BIGINT AS n FROM events, e WHERE value IS NOT NULL GROUP BY 1")
+def colour_histogram(spark, sf_dir):
+    return fields.colour_histogram(_t(spark, sf_dir, "events"), "value")
+
+
+@query("WITH p AS (SELECT quantile_cont(value - 50, 0.02) AS a, quantile_cont(value - 50, 0.98) AS b FROM events) SELECT round(CASE WHEN a < 0 AND b > 0 THEN -greatest(-a, b) ELSE a END, 6) AS low, round(CASE WHEN a < 0 AND b > 0 THEN greatest(-a, b) ELSE b END, 6) AS high, a < 0 AND b > 0 AS diverging FROM p")
+def map_scale(spark, sf_dir):
+    return _rounded(fields.map_scale(_t(spark, sf_dir, "events").select((F.col("value") - 50).alias("v")), "v"), "low", "high")
+
+
+@query("""WITH d AS (SELECT DISTINCT o_custkey, o_orderdate::DATE AS day FROM orders), f AS (SELECT *, CASE WHEN day - lag(day) OVER w <= 62 THEN 0 ELSE 1 END AS new FROM d WINDOW w AS (PARTITION BY o_custkey ORDER BY day)), r AS (SELECT *, sum(new) OVER (PARTITION BY o_custkey ORDER BY day) AS run FROM f)
+SELECT o_custkey, min(day) AS start, max(day) AS "end", count(*)::BIGINT AS n FROM r GROUP BY o_custkey, run""")
+def date_runs(spark, sf_dir):
+    return series.date_runs(_t(spark, sf_dir, "orders").select("o_custkey", F.to_date("o_orderdate").alias("day")), ["o_custkey"], "day")
+
+
+@query("SELECT event_type, date_trunc('month', ts)::DATE AS month, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+def monthly_counts(spark, sf_dir):
+    return series.monthly_counts(_t(spark, sf_dir, "events"), "ts", "event_type")
+
+
+@query("SELECT event_id, value FROM events ORDER BY md5('3:' || event_id::VARCHAR), event_id LIMIT 200")
+def seeded_subsample(spark, sf_dir):
+    return series.subsample(_t(spark, sf_dir, "events").select("event_id", "value"), "event_id", 200, 3)
+
+
+@query("WITH c AS (SELECT max(epoch_us(o_orderdate)) / 1e6 AS b, min(epoch_us(o_orderdate)) / 1e6 AS a FROM orders) SELECT greatest(a, b - 5 * 365.25 * 86400)::DOUBLE AS start_s, b::DOUBLE AS end_s FROM c")
+def default_period(spark, sf_dir):
+    return series.default_period(series.time_coverage(_t(spark, sf_dir, "orders"), "o_orderdate"), 5)
+
+
+@query("SELECT o_orderstatus AS status, count(*)::BIGINT AS n FROM orders GROUP BY 1")
+def status_tally(spark, sf_dir):
+    return claims.tally(_t(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status")))
+
+
+@query("""WITH t AS (SELECT doc_id AS page, ' ' || trim(lower(regexp_replace(text, '[^\p{L}\p{N}]+', ' ', 'g'))) || ' ' AS t FROM documents WHERE text IS NOT NULL),
+q AS (SELECT doc_id AS page, substr(text, 11, 60) AS quote FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id + 1, substr(text, 5, 90) FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id + 5, substr(text, 1, 80) FROM documents WHERE text IS NOT NULL),
+w AS (SELECT *, trim(lower(regexp_replace(quote, '[^\p{L}\p{N}]+', ' ', 'g'))) AS w FROM q),
+h AS (SELECT w.page, w.quote, arg_min(t.page, abs(t.page - w.page) * 10 + (t.page > w.page)::INT) AS found_page FROM w JOIN t ON t.page BETWEEN w.page - 1 AND w.page + 1 AND w.w <> '' AND contains(t.t, ' ' || w.w || ' ') GROUP BY w.page, w.quote)
+SELECT q.page, q.quote, h.found_page FROM q LEFT JOIN h ON h.page = q.page AND h.quote = q.quote""")
+def page_quotes(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("page"), "text")
+    part = lambda shift, a, n: d.select((F.col("page") + shift).alias("page"), F.substring("text", a, n).alias("quote"))
+    return claims.find_quotes(part(0, 11, 60).unionByName(part(1, 5, 90)).unionByName(part(5, 1, 80)), d)
+
+
+@query("SELECT event_type AS \"case\", count(*)::BIGINT AS n, count(*) FILTER (value > 20)::BIGINT AS passed, round(avg((value > 20)::INT), 4)::DOUBLE AS score FROM events GROUP BY 1")
+def case_scores(spark, sf_dir):
+    return claims.scores(_t(spark, sf_dir, "events").select(F.col("event_type").alias("case"), F.col("event_id").alias("check"), (F.col("value") > 20).alias("passed")))
+
+
+@query("SELECT p_partkey, p_name, regexp_matches(p_name, '(?i)\\b(elevation|dem|dtm|dsm|height|topograph\\w*|altitude|terrain|relief)\\b') AS is_elevation, regexp_matches(p_name, '(?i)(^|[^a-z])(ndvi|evi|vegetation)([^a-z]|$)') AS is_vegetation FROM (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'surface elevation ' || p_name WHEN 1 THEN 'mean NDVI of ' || p_name WHEN 2 THEN 'redemption ' || p_name ELSE p_name END AS p_name FROM part)")
+def variable_roles(spark, sf_dir):
+    k = F.col("p_partkey") % 5
+    lead = F.when(k == 0, "surface elevation ").when(k == 1, "mean NDVI of ").when(k == 2, "redemption ").otherwise("")
+    return fields.roles(_t(spark, sf_dir, "part").select("p_partkey", F.concat(lead, F.col("p_name")).alias("p_name")), "p_name")

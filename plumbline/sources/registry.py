@@ -94,7 +94,7 @@ def candidates(path: Path, head: bytes) -> list[Reader]:
 
 def read(spark: SparkSession, path: str | Path, options: Options | None = None) -> Dataset:
     """Open a file with the first reader that can; failures become ``problems``; the last resort is ``unknown``."""
-    from plumbline.sources import documents, rasters, tabular, unknown  # noqa: F401
+    from plumbline.sources import arrays, documents, images, rasters, tabular, unknown, workbooks  # noqa: F401
 
     path, options, problems = Path(path), options or Options(), []
     head = b""
