@@ -233,7 +233,7 @@ def fields_of(spark: SparkSession, path: Path, variables: dict[str, Variable], o
     v = main_variable(variables, options.var)
     lat, lon = coordinate(variables, LATITUDE), coordinate(variables, LONGITUDE)
     axis = lambda name, dim, n: read(path, variables[name]).astype(float).tolist() if name and variables[name].dims[0] == dim else list(map(float, range(n)))
-    shared = {"name": v.name, "dtype": v.dtype, "codec": codec, "how": decoding(v.attrs), "y": axis(lat, v.dims[-2], v.shape[-2]), "x": axis(lon, v.dims[-1], v.shape[-1])}
+    shared = {"name": v.name, "dtype": v.dtype, "codec": codec, "how": decoding(v.attrs), "height": v.shape[-2], "width": v.shape[-1], "y": axis(lat, v.dims[-2], v.shape[-2]), "x": axis(lon, v.dims[-1], v.shape[-1])}
     meta = {"variable": v.name, "dims": dict(zip(v.dims, v.shape)), "variables": {w.name: list(w.shape) for w in variables.values()}, "units": v.attrs.get("units"), "attributes": {k: a for k, a in v.attrs.items() if isinstance(a, str)}}
     df = cells(spark, slabs(v), shared)
     time = next((w for w in variables.values() if len(w.shape) == 1 and (w.name.lower() in TIME_NAMES or " since " in str(w.attrs.get("units", "")))), None)
@@ -293,11 +293,7 @@ def read_store(spark: SparkSession, path: Path, options: Options) -> Dataset:
         parts = [np.frombuffer(_unpacked((path / v.name / str(i)).read_bytes(), codec), v.dtype) for i in range(-(-v.shape[0] // chunks[0]))]
         return np.concatenate(parts)[: v.shape[0]]
 
-    v = main_variable(variables, options.var)
-    found = fields_of(spark, path, variables, options, slabs, codecs[v.name][0], read)
-    inside = (F.col("iy") < v.shape[-2]) & (F.col("ix") < v.shape[-1])
-    found.df = found.df.filter(inside)
-    return found
+    return fields_of(spark, path, variables, options, slabs, codecs[main_variable(variables, options.var).name][0], read)
 
 
 # --- GeoTIFF ---
