@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.catalog import COLUMNS, TOP
 from plumbline.functions.constants import CATEGORY_MAX, CORRELATION_MIN
 from plumbline.functions.expr import finite
 
@@ -80,9 +81,13 @@ def sentinel_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.array(*out).alias("s")).select(F.explode("s").alias("s")).select("s.*")
 
 
-def product_matches(items: DataFrame, text: str, catalog: list[tuple[str, str]], top: int = 3) -> DataFrame:
-    """Each item with the first ``top`` catalog entries (name, pattern) that its text matches, in catalog order."""
-    hits = F.filter(F.array(*[F.when(F.lower(F.col(text)).rlike(p), F.lit(n)) for n, p in catalog]), lambda x: x.isNotNull())
+def product_matches(items: DataFrame, text: str, catalog: list[tuple[str, str]], top: int = TOP, columns: str | None = None) -> DataFrame:
+    """Each item with the first ``top`` catalog entries (name, pattern) that its text matches, in catalog order.
+
+    ``columns`` may name an array of lower-case column names, by which some data sets are known as well.
+    """
+    by_columns = lambda n: F.size(F.array_except(F.array(*map(F.lit, COLUMNS[n])), F.coalesce(F.col(columns), F.array().cast("array<string>")))) == 0 if columns and n in COLUMNS else F.lit(False)
+    hits = F.filter(F.array(*[F.when(F.coalesce(F.lower(F.col(text)).rlike(p), F.lit(False)) | by_columns(n), F.lit(n)) for n, p in catalog]), lambda x: x.isNotNull())
     return items.withColumn("products", F.array_join(F.slice(hits, 1, top), ","))
 
 

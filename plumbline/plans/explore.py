@@ -7,13 +7,13 @@ from __future__ import annotations
 
 import math
 import re
-import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.catalog import CATALOG
 from plumbline.functions.expr import decimal_year, human_delta, without_sentinels
 from plumbline.operators import documents, fields, profile, rules, series, spatial, trend
 from plumbline.sources import files, registry
@@ -23,7 +23,7 @@ from plumbline.sources.registry import Dataset, Options
 TIME_NAME = re.compile(r"date|time|timestamp|datetime|acq_date|day|month|year|^ts$|^t$", re.I)
 LAT_NAME, LON_NAME = re.compile(r"^(lat|latitude|y_lat|lat_deg)$", re.I), re.compile(r"^(lon|long|longitude|lng|x_lon|lon_deg)$", re.I)
 FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyyMMdd", "yyyy/MM/dd", "MM/dd/yyyy", "dd/MM/yyyy", "dd.MM.yyyy")
-MOST_TRENDS = 20
+TOP_QUANTITIES = 40
 
 
 def find_time(df: DataFrame) -> tuple[DataFrame, str | None]:
@@ -129,7 +129,7 @@ def analyze_table(df: DataFrame, options: Options) -> dict:
                 if lat:
                     out["events"]["hotspots"] = _rows(spatial.hotspots(kept, lon, lat))
             if columns:
-                long = kept.select("_time", F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns[:MOST_TRENDS]])).alias("x")).select(F.col("x.key").alias("key"), F.to_date("_time").alias("t"), F.col("x.v").alias("v"))
+                long = kept.select("_time", F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns])).alias("x")).select(F.col("x.key").alias("key"), F.to_date("_time").alias("t"), F.col("x.v").alias("v"))
                 found = trend.trends(long.filter("t IS NOT NULL AND v IS NOT NULL"))
                 out["trends"] = _rows(found)
                 out["trend_text"] = _rows(rules.trend_wording(found))
@@ -161,7 +161,7 @@ def analyze_grid(df: DataFrame, options: Options) -> dict:
 def analyze_document(df: DataFrame, options: Options) -> dict:
     """Words, keywords, study period and quantities of pages of text."""
     words = df.agg(F.sum(F.size(F.filter(F.split("text", r"\s+"), lambda x: x != ""))).alias("n_words"), F.count(F.lit(1)).alias("n_pages")).first().asDict()
-    return {"summary": words, "keywords": _rows(documents.keywords(df)), "study_period": documents.study_period(df, "text").first().asDict(), "quantities": [r["quantity"] for r in documents.quantities(df, "page", "text").limit(40).collect()], "quality": _rows(rules.document_issues(df, "page", "text"))}
+    return {"summary": words, "keywords": _rows(documents.keywords(df)), "study_period": documents.study_period(df, "text").first().asDict(), "quantities": [r["quantity"] for r in documents.quantities(df, "page", "text").groupBy("quantity").count().orderBy(F.desc("count"), "quantity").limit(TOP_QUANTITIES).collect()], "quality": _rows(rules.document_issues(df, "page", "text"))}
 
 
 def analyze_field(df: DataFrame, options: Options, meta: dict | None = None) -> dict:
@@ -217,6 +217,14 @@ def analyze(found: Dataset, options: Options) -> dict:
     return out
 
 
+def known_products(spark: SparkSession, name: str, found: Dataset) -> list[dict]:
+    """Data sets that a file's name, attributes, header text or columns tell."""
+    said = " ".join([name, *(str(found.meta.get(k, "")) for k in ("attributes", "header_text", "title"))])
+    columns = [c.lower() for c in found.df.columns] if found.df is not None else []
+    keys = profile.product_matches(spark.createDataFrame([(said, columns)], "said string, names array<string>"), "said", [(k, p) for k, p, _ in CATALOG], columns="names").first()["products"]
+    return [{"key": k, "resolution": r} for k, _, r in CATALOG if k in keys.split(",")]
+
+
 def explore(spark: SparkSession, path: str | Path, out: str | Path | None = None, options: Options | None = None, reuse: bool = False) -> list[dict]:
     """Results of every file below ``path``; archives are opened; reports are written to ``out``."""
     path, options, results = Path(path), options or Options(), []
@@ -228,8 +236,8 @@ def explore(spark: SparkSession, path: str | Path, out: str | Path | None = None
             return
         if files.is_archive(p) and depth < files.MOST_DEPTH:
             try:
-                with tempfile.TemporaryDirectory() as tmp:
-                    for m in files.unpack(p, Path(tmp) / "members"):
+                with files.work_folder(spark) as tmp:
+                    for m in files.unpack(p, tmp / "members"):
                         handle(m, depth + 1)
                 return
             except ValueError as e:
@@ -238,7 +246,8 @@ def explore(spark: SparkSession, path: str | Path, out: str | Path | None = None
             result = {"kind": "binary", "file": p.name, "quality": [{"level": "error", "code": "empty_file"}]}
         else:
             try:
-                result = {"file": p.name, **analyze(registry.read(spark, p, options), options)}
+                found = registry.read(spark, p, options)
+                result = {"file": p.name, "products": known_products(spark, p.name, found), **analyze(found, options)}
             except Exception as e:  # noqa: BLE001  a file that fails is a report with an error
                 result = {"kind": "binary", "file": p.name, "error": f"{type(e).__name__}: {e}"}
         results.append(result)

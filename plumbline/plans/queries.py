@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import expr
+from plumbline.functions.catalog import CATALOG
 from plumbline.operators import claims, documents, fields, profile, rules, series, spatial, trend
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +95,14 @@ def product_match(spark, sf_dir):
     return profile.product_matches(items, "t", _CATALOG).select("p_partkey", "products")
 
 
+@query("SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'imerg' WHEN 1 THEN 'merra2' WHEN 2 THEN 'mola' WHEN 3 THEN 'mod13' WHEN 4 THEN 'firms' WHEN 5 THEN 'srtm' WHEN 6 THEN 'mod11,mod13' ELSE '' END AS products FROM part")
+def known_products(spark, sf_dir):
+    names = ["3B-DAY.MS.MRG.V07.nc4", "MERRA2_400.tavg1.2020.nc4", "megt44n180hb.img", "MOD13A2.A2020001.hdf", "plain.csv", "N31E035.hgt", "MOD11A1 and MYD13 mosaic", "readme"]
+    k = F.col("p_partkey") % 8
+    items = _t(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", F.element_at(F.array(*map(F.lit, names)), (k + 1).cast("int"))).alias("t"), F.when(k == 4, F.array(F.lit("acq_date"), F.lit("latitude"), F.lit("longitude"), F.lit("frp"))).alias("columns"))
+    return profile.product_matches(items, "t", [(n, p) for n, p, _ in CATALOG], columns="columns").select("p_partkey", "products")
+
+
 # --- filters ---
 
 _LAT, _LON = "20 + (c_nationkey % 5) * 4.0D + (c_custkey % 9) * 0.2D", "-60 + (c_nationkey % 7) * 9.0D + (c_custkey % 5) * 0.3D"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bz2
+import contextlib
 import gzip
 import html
 import json
@@ -11,7 +12,9 @@ import math
 import os
 import shutil
 import tarfile
+import tempfile
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 # Names that aren't data of their own.
@@ -95,6 +98,22 @@ def unpack(path: Path, to: Path, most_bytes: int = MOST_BYTES, most_members: int
     raise ValueError("not an archive")
 
 
+@contextlib.contextmanager
+def work_folder(spark) -> Iterator[Path]:
+    """A folder that driver and executors see, gone at the end: below ``spark.checkpoint.dir`` where that is a
+    mounted path, else a temporary one if all runs on this machine."""
+    base = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+    master = spark.sparkContext.master
+    if base and not base.startswith("/"):
+        raise ValueError("archives are unpacked below spark.checkpoint.dir, which must be a mounted folder here")
+    if not base and master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if base:
+        Path(base).mkdir(parents=True, exist_ok=True)
+    with tempfile.TemporaryDirectory(dir=base or None) as made:
+        yield Path(made)
+
+
 def is_archive(path: Path) -> bool:
     return path.suffix.lower() in (".zip", ".tar", ".gz", ".tgz", ".bz2", ".xz") and path.is_file()
 

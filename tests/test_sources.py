@@ -75,12 +75,12 @@ def test_tile_documents_archives_and_folder(spark, tmp_path):
         f.write(b"a,b\n1,2\n3,4\n")
     (tmp_path / "m.bin").write_bytes(b"\x00\x01\x02junk")
     (tmp_path / "e.csv").write_bytes(b"")
-    (tmp_path / "x.tif").write_bytes(b"II*\x00rest")
-    (tmp_path / "x.tif.aux.xml").write_text("<x/>")
+    (tmp_path / "x.grib").write_bytes(b"GRIBrest")
+    (tmp_path / "x.grib.idx").write_text("<x/>")
     got = explore(spark, tmp_path, tmp_path / "out")
     assert len(got) == 8
     assert any(q["code"] == "empty_file" for r in got for q in r.get("quality", []))
-    assert any("install rasterio" in p for r in got for p in r.get("problems", []))
+    assert any("install cfgrib" in p for r in got for p in r.get("problems", []))
     assert (tmp_path / "out" / "index.html").exists() and len(list((tmp_path / "out").glob("*.json"))) == 8
     assert explore(spark, tmp_path, tmp_path / "out", reuse=True) != got
 
