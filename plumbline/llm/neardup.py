@@ -15,9 +15,14 @@ keeps lists short and the guarantee whole. Sets of the same hash are one node, s
    most that the sets can share; pairs that can't reach the threshold fall out, none that can.
 3. Exact Jaccard on full sets verifies every link.
 
+Lists of the common values may hold a third of all sets, so they are never one task's: frequent values are found
+in parts of the chunks, their lists are plain rows, their hubs come from an aggregate with map-side combine,
+and their pairs from joins whose hot keys Spark splits. A list in a bucket is short.
+
 Null and empty texts have n_shingles 0 and are linked with nothing, and so are rows with a null id (their
 component is null, and they are kept). Rows that repeat an id each get a result. Columns named as the
-outputs are replaced. Two different sets become one node with probability 2**-64.
+outputs are replaced. A node is 64 bits of its set; where two different sets (by a second hash of 64 bits) have
+one node, all is done again with other hashes, so nodes are as good as sets compared whole.
 """
 
 from __future__ import annotations
@@ -35,11 +40,11 @@ from plumbline.llm.textops import LOWER, give_back, mix, span_hashes, text_block
 
 WIDTH = 5
 PERCENT = 85
-HOT = 64
+HOT, HOT_PARTS = 64, 8
 CHUNK_BYTES = 6 << 20
 LIST_BYTES = 8 << 20  # text whose retained values one bucket holds
-CELLS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("hots", pa.list_(pa.int64())), ("nodes", pa.list_(pa.int64())), ("values", pa.binary()), ("which", pa.binary()), ("ranks", pa.binary())])
-CELLS_DDL = "chunk long, bucket int, ids array<long>, sizes array<long>, hots array<long>, nodes array<long>, values binary, which binary, ranks binary"
+CELLS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("part", pa.int32()), ("checks", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("hots", pa.list_(pa.int64())), ("nodes", pa.list_(pa.int64())), ("values", pa.binary()), ("which", pa.binary()), ("ranks", pa.binary())])
+CELLS_DDL = "chunk long, bucket int, part int, checks array<long>, ids array<long>, sizes array<long>, hots array<long>, nodes array<long>, values binary, which binary, ranks binary"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -67,9 +72,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> t
     return out[fresh], np.concatenate([[0], np.cumsum(fresh)])[edges]
 
 
-def set_nodes(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
+def set_nodes(values: np.ndarray, edges: np.ndarray, seed: int = 0) -> np.ndarray:
     """One hash for each set; an empty set has 0."""
-    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values, 0x5EED), dtype=np.uint64)])
+    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values, 0x5EED + seed), dtype=np.uint64)])
     n = np.diff(edges)
     return np.where(n > 0, mix(run[edges[1:]] - run[edges[:-1]], 77) ^ n.astype(np.uint64), np.uint64(0))
 
@@ -98,19 +103,21 @@ def sketches(values: np.ndarray, edges: np.ndarray, percent: int, hot: np.ndarra
     return values[keep], text[keep], rank[keep] + 1, hots
 
 
-def _cells(batches: Iterable[pa.RecordBatch], bits: int, percent: int, hot: np.ndarray | None, width: int, whole: bool = False) -> Iterator[pa.RecordBatch]:
+def _cells(batches: Iterable[pa.RecordBatch], bits: int, percent: int, hot: np.ndarray | None, width: int, whole: bool = False, seed: int = 0) -> Iterator[pa.RecordBatch]:
+    """A row for each chunk with its rows' sets, and rows for each bucket with postings: lists of hot values apart, unless all are sought."""
     ids = store.chunk_counter()
     for rows, data, offsets in text_blocks(batches, max_bytes=CHUNK_BYTES):
         chunk = next(ids)
         values, edges = shingle_sets(data, offsets, width)
-        nodes, sizes = set_nodes(values, edges), np.diff(edges)
+        nodes, sizes = set_nodes(values, edges, seed), np.diff(edges)
+        checks = set_nodes(values, edges, seed + 0xC0DE)
         out = {x: [] for x in CELLS.names}
 
         def row(**x):
             for k in CELLS.names:
                 out[k].append(x.get(k))
 
-        row(chunk=chunk, bucket=-1, ids=rows.column(0).to_pylist(), sizes=sizes, nodes=nodes.view(np.int64))
+        row(chunk=chunk, bucket=-1, part=0, ids=rows.column(0).to_pylist(), sizes=sizes, nodes=nodes.view(np.int64), checks=checks.view(np.int64))
         valid = np.asarray(rows.column(0).is_valid()) & (sizes > 0)
         value, text, rank, hots = sketches(values, edges, percent, hot, whole)
         once = np.zeros(len(nodes), bool)
@@ -119,11 +126,15 @@ def _cells(batches: Iterable[pa.RecordBatch], bits: int, percent: int, hot: np.n
         value, text, rank = value[use], text[use], rank[use]
         order = np.argsort(value, kind="stable")
         value, text, rank = value[order], text[order], rank[order]
-        cut = packed.cuts(value, bits)
-        for b in np.flatnonzero(np.diff(cut)):
-            i, j = cut[b], cut[b + 1]
-            own, which = np.unique(text[i:j], return_inverse=True)
-            row(chunk=chunk, bucket=int(b), nodes=nodes[own].view(np.int64), sizes=sizes[own], hots=hots[own], values=packed.pack(value[i:j]), which=packed.planes(which), ranks=packed.planes(rank[i:j]))
+        late = np.zeros(len(value), bool) if hot is None or whole else graph.in_bitmap(value, hot)
+        apart = (chunk * 0x9E3779B1 >> 7) % HOT_PARTS
+        for kind, use in ((0 if hot is not None and not whole else apart, ~late), (-1, late)):
+            v, t, r = value[use], text[use], rank[use]
+            cut = packed.cuts(v, bits)
+            for b in np.flatnonzero(np.diff(cut)):
+                i, j = cut[b], cut[b + 1]
+                own, which = np.unique(t[i:j], return_inverse=True)
+                row(chunk=chunk, bucket=int(b), part=kind, nodes=nodes[own].view(np.int64), sizes=sizes[own], hots=hots[own], values=packed.pack(v[i:j]), which=packed.planes(which), ranks=packed.planes(r[i:j]))
         yield pa.RecordBatch.from_pydict(out, CELLS)
 
 
@@ -151,10 +162,20 @@ def _bounds(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hot_values(table: pa.Table) -> pa.Table:
+    """(value, n) of what a part of the chunks has more often than its share of a hot list."""
     give_back()
     value, *_ = _lists(table)
     start, length = _bounds(value)
-    return pa.table({"value": value[start[length > HOT]].view(np.int64)})
+    use = length > HOT // HOT_PARTS
+    return pa.table({"value": value[start[use]].view(np.int64), "n": length[use]})
+
+
+def _flat(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of hot values as rows (value, node, size, hot, rank)."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            value, node, size, hot, rank = _lists(pa.Table.from_batches([batch.slice(i, 1)]))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (value.view(np.int64), node, size, hot, rank)], ["value", "node", "size", "hot", "rank"])
 
 
 def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
@@ -214,11 +235,11 @@ def _across(table: pa.Table, roots: pa.Table, percent: int) -> Iterator[pa.Recor
                 yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y]), pa.array(size[x]), pa.array(size[y]), pa.array(rank[x]), pa.array(rank[y])], ["a", "b", "na", "nb", "ra", "rb"])
 
 
-def _texts(batches: Iterable[pa.RecordBatch], wanted: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
+def _texts(batches: Iterable[pa.RecordBatch], wanted: np.ndarray, width: int, seed: int) -> Iterator[pa.RecordBatch]:
     """(node, text) of the texts whose set may be wanted."""
     for rows, data, offsets in text_blocks(batches, max_bytes=CHUNK_BYTES // 2):
         values, edges = shingle_sets(data, offsets, width)
-        nodes = set_nodes(values, edges)
+        nodes = set_nodes(values, edges, seed)
         use = np.flatnonzero((np.diff(edges) > 0) & graph.in_bitmap(mix(nodes), wanted))
         nodes, first = np.unique(nodes[use], return_index=True)
         raw = data.tobytes()
@@ -249,17 +270,17 @@ def _verify(batches: Iterable[pa.RecordBatch], percent: int, width: int) -> Iter
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, percent: int, width: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, percent: int, width: int, seed: int) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets reach the threshold, written."""
     with store.scope():
-        return store.write_table(_checked(docs, pairs, percent, width), "links").keep().df
+        return store.write_table(_checked(docs, pairs, percent, width, seed), "links").keep().df
 
 
-def _checked(docs: DataFrame, pairs: DataFrame, percent: int, width: int) -> DataFrame:
+def _checked(docs: DataFrame, pairs: DataFrame, percent: int, width: int, seed: int) -> DataFrame:
     spark = docs.sparkSession
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = spark.sparkContext.broadcast(graph.bitmap(nodes.mapInArrow(_mixed, "node long"), "node"))
-    texts = docs.mapInArrow(lambda it: _texts(it, wanted.value, width), "node long, text binary").groupBy("node").agg(F.first("text").alias("text"))
+    texts = docs.mapInArrow(lambda it: _texts(it, wanted.value, width, seed), "node long, text binary").groupBy("node").agg(F.first("text").alias("text"))
     texts = store.write_table(texts.join(nodes, "node", "left_semi"), "texts", "none").df
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 256).alias("parts"))
     salted = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt"))
@@ -276,20 +297,51 @@ def _mixed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``."""
-    with store.scope():
-        return _near_duplicates(docs, percent, width, id_col, text_col)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    seed = 0
+    while True:
+        with store.scope():
+            found = _near_duplicates(docs, percent, width, seed)
+        if found is not None:
+            return found
+        seed += 1
+
 
+def _can_link(x: str, y: str, percent: int):
+    """Whether the sets of two postings of a hot value can reach the threshold: they share hot values only."""
+    size = lambda p: F.col(f"{p}.size")
+    alike = 100 * F.least(size(x), size(y)) >= percent * F.greatest(size(x), size(y))
+    return alike & ((100 + percent) * F.least(F.col(f"{x}.hot"), F.col(f"{y}.hot")) >= percent * (size(x) + size(y)))
 
-def _near_duplicates(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
+
+def _hot_hubs(flat: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, shared) of each hot list's first node with the others."""
+    first = flat.groupBy("value").agg(F.min(F.struct((F.col("size") - F.col("hot")).alias("own"), "node", "size")).alias("hub"))
+    pairs = flat.join(first, "value").filter((F.col("node") != F.col("hub.node")) & (100 * F.least("size", "hub.size") >= percent * F.greatest("size", "hub.size")))
+    return pairs.groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+
+
+def _hot_across(flat: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb, ra, rb, shared) across components in hot lists that still hold several."""
+    own = flat.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = own.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("value")
+    some = store.write_table(own.join(mixed, "value", "left_semi"), "mixed").df
+    x, y = some.alias("x"), some.alias("y")
+    pairs = x.join(y, F.expr("x.value = y.value AND x.node < y.node AND x.root <> y.root") & _can_link("x", "y", percent))
+    return pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.first("x.size").alias("na"), F.first("y.size").alias("nb"), F.max("x.rank").alias("ra"), F.max("y.rank").alias("rb"), F.count(F.lit(1)).alias("shared"))
+
+
+def _near_duplicates(docs: DataFrame, percent: int, width: int, seed: int) -> DataFrame | None:
+    """The result, or None where two sets have one node."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     bits = packed.bucket_bits(store.text_bytes(docs), LIST_BYTES, least=6)
 
     def cells(hot=None, whole=False):
-        return docs.mapInArrow(lambda it: _cells(it, bits, percent, hot.value if hot else None, width, whole), CELLS_DDL)
+        return docs.mapInArrow(lambda it: _cells(it, bits, percent, hot.value if hot else None, width, whole, seed), CELLS_DDL)
 
     def hot_values(rows):
-        return rows.filter("bucket >= 0").groupBy("bucket").applyInArrow(_hot_values, "value long")
+        counted = rows.filter("bucket >= 0").groupBy("bucket", "part").applyInArrow(_hot_values, "value long, n long")
+        return counted.groupBy("value").agg(F.sum("n").alias("n")).filter(F.col("n") > HOT // 2)
 
     # Values of long lists, then those among all values of the sets that have one: so sets that share much
     # have all that they share demoted at once.
@@ -299,22 +351,31 @@ def _near_duplicates(docs: DataFrame, percent: int, width: int, id_col: str, tex
         table.drop()
         hot |= graph.bitmap(hot_values(cells(spark.sparkContext.broadcast(hot), whole=True)), "value")
         table = store.write_table(cells(spark.sparkContext.broadcast(hot)), "lists", "none")
-    lists = table.df.filter("bucket >= 0").select("bucket", "values", "which", "ranks", "nodes", "sizes", "hots")
+    rows = table.df.filter("bucket < 0").select(F.explode(F.arrays_zip("ids", "sizes", "nodes", "checks")).alias("x")).select(F.col("x.ids").alias("doc_id"), F.col("x.sizes").alias("n_shingles"), F.col("x.nodes").alias("node"), F.col("x.checks").alias("check"))
+    if not rows.filter("n_shingles > 0").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).filter("low <> high").isEmpty():
+        return None
+    lists = table.df.filter("bucket >= 0 AND part >= 0").select("bucket", "values", "which", "ranks", "nodes", "sizes", "hots")
     hubs = store.write_table(lists.groupBy("bucket").applyInArrow(lambda t: _hubs(t, percent), "bucket int, a long, b long, shared long"), "hubs").df
     total = hubs.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    flat = None
+    if hot.any():
+        flat = table.df.filter("bucket >= 0 AND part < 0").select("values", "which", "ranks", "nodes", "sizes", "hots").mapInArrow(_flat, "value long, node long, size long, hot long, rank long")
+        # Copies of a set stand in many chunks; a list has each once.
+        flat = store.write_table(flat.groupBy("value", "node").agg(F.first("size").alias("size"), F.first("hot").alias("hot"), F.first("rank").alias("rank")), "hot").df
+        total = total.unionByName(_hot_hubs(flat, percent)).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     best = total.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    first = _verified(docs, store.write_table(best, "pairs").df, percent, width)
+    first = _verified(docs, store.write_table(best, "pairs").df, percent, width, seed)
     roots = graph.components(first)
     met = hubs.select("bucket", F.col("a").alias("node")).union(hubs.select("bucket", "b")).distinct().join(roots, "node")
     across = lists.groupBy("bucket").cogroup(met.select("bucket", "node", "root").groupBy("bucket")).applyInArrow(lambda x, y: _summed(_across(x, y, percent) if x.num_rows else ()), "a long, b long, na long, nb long, ra long, rb long, shared long")
+    if flat is not None:
+        across = across.unionByName(_hot_across(flat, roots, percent))
     seen = across.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("ra").alias("ra"), F.max("rb").alias("rb"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     can = F.col("shared") + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))
     rest = store.write_table(seen.filter(can * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select("a", "b"), "pairs").df
     if not rest.isEmpty():
-        links = first.unionByName(_verified(docs, rest, percent, width))
-        roots = graph.components(links)
-    rows = table.df.filter("bucket < 0").select(F.explode(F.arrays_zip("ids", "sizes", "nodes")).alias("x")).select(F.col("x.ids").alias("doc_id"), F.col("x.sizes").alias("n_shingles"), F.col("x.nodes").alias("node"))
-    rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        roots = graph.components(first.unionByName(_verified(docs, rest, percent, width, seed)))
+    rows = rows.drop("check").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     least = rows.filter(linked).groupBy("root").agg(F.min("doc_id").alias("least"))
     out = rows.join(least, "root", "left").withColumn("component_id", F.when(linked, F.col("least")).otherwise(F.col("doc_id")))
