@@ -110,7 +110,7 @@ def _cells(batches: Iterable[pa.RecordBatch], bits: int, percent: int, hot: np.n
         chunk = next(ids)
         values, edges = shingle_sets(data, offsets, width)
         nodes, sizes = set_nodes(values, edges, seed), np.diff(edges)
-        checks = set_nodes(values, edges, seed + 0xC0DE)
+        checks = nodes if whole else set_nodes(values, edges, seed + 0xC0DE)
         out = {x: [] for x in CELLS.names}
 
         def row(**x):
@@ -377,7 +377,8 @@ def _near_duplicates(docs: DataFrame, percent: int, width: int, seed: int) -> Da
         roots = graph.components(first.unionByName(_verified(docs, rest, percent, width, seed)))
     rows = rows.drop("check").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    least = rows.filter(linked).groupBy("root").agg(F.min("doc_id").alias("least"))
+    # Written, so that the join below is one whose hot keys (a component of a third of all rows) Spark splits.
+    least = store.write_table(rows.filter(linked).groupBy("root").agg(F.min("doc_id").alias("least")), "least").df
     out = rows.join(least, "root", "left").withColumn("component_id", F.when(linked, F.col("least")).otherwise(F.col("doc_id")))
     out = out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
     return store.write_table(out, "neardup").keep().df
