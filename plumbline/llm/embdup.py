@@ -300,8 +300,8 @@ def links(nodes: DataFrame, reach: float = COSINE) -> tuple[DataFrame, DataFrame
     built = each.select("shard", "part", "node", "v").groupBy("shard", "part").applyInArrow(lambda t: _graph(t, reach), "a long, b long")
     united = store.write_table(built.groupBy("a").agg(F.collect_set("b").alias("nbrs")), "united").df
     # A node's list of neighbours, as the shards that it leads to.
-    where = held.select(F.col("node").alias("b"), F.explode("shards").alias("to"))
-    roads = united.select("a", F.explode("nbrs").alias("b")).join(where, "b").groupBy(F.col("a").alias("node")).agg(F.sort_array(F.collect_set("to")).alias("roads"))
+    where = held.select(F.col("node").alias("b"), "shards")
+    roads = united.select("a", F.explode("nbrs").alias("b")).join(where, "b").groupBy(F.col("a").alias("node")).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("shards")))).alias("roads"))
     members = store.write_table(held.join(roads, "node", "left").select("node", "v", "weight", "shards", F.coalesce("roads", "shards").alias("roads")), "members", "none").df
     by_shard = members.withColumn("shard", F.explode("shards"))
     search = members.select(F.col("node").alias("q"), F.col("v").alias("qv"), F.col("shards").alias("way"), F.explode("shards").alias("shard"))

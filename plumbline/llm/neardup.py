@@ -350,6 +350,7 @@ def _near_duplicates(docs: DataFrame, percent: int, width: int, seed: int) -> Da
     if hot.any():
         table.drop()
         hot |= graph.bitmap(hot_values(cells(spark.sparkContext.broadcast(hot), whole=True)), "value")
+        store.release(spark)
         table = store.write_table(cells(spark.sparkContext.broadcast(hot)), "lists", "none")
     rows = table.df.filter("bucket < 0").select(F.explode(F.arrays_zip("ids", "sizes", "nodes", "checks")).alias("x")).select(F.col("x.ids").alias("doc_id"), F.col("x.sizes").alias("n_shingles"), F.col("x.nodes").alias("node"), F.col("x.checks").alias("check"))
     if not rows.filter("n_shingles > 0").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).filter("low <> high").isEmpty():
@@ -365,6 +366,7 @@ def _near_duplicates(docs: DataFrame, percent: int, width: int, seed: int) -> Da
         total = total.unionByName(_hot_hubs(flat, percent)).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     best = total.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
     first = _verified(docs, store.write_table(best, "pairs").df, percent, width, seed)
+    store.release(spark)
     roots = graph.components(first)
     met = hubs.select("bucket", F.col("a").alias("node")).union(hubs.select("bucket", "b")).distinct().join(roots, "node")
     across = lists.groupBy("bucket").cogroup(met.select("bucket", "node", "root").groupBy("bucket")).applyInArrow(lambda x, y: _summed(_across(x, y, percent) if x.num_rows else ()), "a long, b long, na long, nb long, ra long, rb long, shared long")

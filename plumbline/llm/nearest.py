@@ -33,12 +33,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import store
+from plumbline.llm.textops import give_back
 from plumbline.llm.vectors import binary_rows, blobs, by_groups, matrix, ragged, usable
 
 DEGREE, ROUNDS, TREES, BUCKET = 16, 4, 4, 96
 BEAM, WIDTH, ENTRIES, RERANK = 448, 112, 1024, 64
 MEMBERS = 12
 AUDIT, RECALL, WIDEST, BLOCK = 64, 0.95, 8, 2048
+MEASURED = 512  # rows of the adjacency table that are measured at once
 STATE = "q long, v binary, ids binary, dists binary, done binary"
 
 
@@ -243,17 +245,18 @@ def _frontier(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.Reco
 
 
 def _measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if not b.num_rows:
-            continue
-        q = unpacked_rows(blobs(b.column("v"), np.uint8))
-        ids, cut = ragged(b.column("ids"), np.int64)
-        v, _ = ragged(b.column("vs"), np.uint8)
-        x = unpacked_rows(v.reshape(len(ids), -1))
-        at = np.repeat(np.arange(len(q)), np.diff(cut))
-        d = ((x - q[at]) ** 2).sum(1, dtype=np.float32)
-        make = lambda y, size: pa.Array.from_buffers(pa.binary(), len(q), [None, pa.py_buffer((cut * size).astype(np.int32)), pa.py_buffer(y.tobytes())])
-        yield pa.RecordBatch.from_arrays([b.column("q"), make(ids, 8), make(d, 4)], ["q", "ids", "dists"])
+    for whole in batches:
+        for first in range(0, whole.num_rows, MEASURED):
+            b = whole.slice(first, MEASURED)
+            q = unpacked_rows(blobs(b.column("v"), np.uint8))
+            ids, cut = ragged(b.column("ids"), np.int64)
+            v, _ = ragged(b.column("vs"), np.uint8)
+            x = unpacked_rows(v.reshape(len(ids), -1))
+            x -= q[np.repeat(np.arange(len(q)), np.diff(cut))]
+            d = np.einsum("ij,ij->i", x, x)
+            make = lambda y, size: pa.Array.from_buffers(pa.binary(), len(q), [None, pa.py_buffer((cut * size).astype(np.int32)), pa.py_buffer(y.tobytes())])  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([b.column("q"), make(ids, 8), make(d, 4)], ["q", "ids", "dists"])
+        give_back()
 
 
 def _advance(batches: Iterable[pa.RecordBatch], beam: int, width: int) -> Iterator[pa.RecordBatch]:
@@ -276,6 +279,7 @@ def _advance(batches: Iterable[pa.RecordBatch], beam: int, width: int) -> Iterat
             best = np.lexsort((own, od))[:beam]
             for o, x in zip(out, (own, od, oz)):
                 o.append(x[best].tobytes())
+        give_back()
         yield pa.RecordBatch.from_arrays([b.column("q"), b.column("v"), *(pa.array(x, pa.binary()) for x in out), pa.array([0 in x for x in out[2]])], ["q", "v", "ids", "dists", "done", "open"])
 
 

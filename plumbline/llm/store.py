@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -94,6 +95,13 @@ def scope() -> Iterator[list[Table]]:
                 table.drop()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing refers to any more; it waits for the JVM's collector."""
+    gc.collect()
+    if _alive(spark):
+        spark.sparkContext._jvm.System.gc()
+
+
 def write_table(df: DataFrame, name: str, codec: str = "zstd", rows_per_file: int = 0) -> Table:
     """Write ``df`` to the shared folder; read it back through ``.df``."""
     spark = df.sparkSession
