@@ -40,7 +40,7 @@ from plumbline.llm.textops import LOWER, give_back, mix, span_hashes, text_block
 
 WIDTH = 5
 PERCENT = 85
-HOT, HOT_PARTS = 64, 8
+HOT, HOT_PARTS, HUB_ROUNDS = 64, 8, 3
 CHUNK_BYTES = 6 << 20
 LIST_BYTES = 8 << 20  # text whose retained values one bucket holds
 CELLS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("part", pa.int32()), ("checks", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("hots", pa.list_(pa.int64())), ("nodes", pa.list_(pa.int64())), ("values", pa.binary()), ("which", pa.binary()), ("ranks", pa.binary())])
@@ -321,6 +321,14 @@ def _hot_hubs(flat: DataFrame, percent: int) -> DataFrame:
     return pairs.groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
 
 
+def _next_hubs(flat: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, shared) of the first node of one component of each hot list with the nodes of its others."""
+    own = flat.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    hub = own.groupBy("value").agg(F.max_by(F.struct("node", "size", "root"), F.struct("root", -F.col("size"), "node")).alias("hub"))
+    pairs = own.join(hub, "value").filter((F.col("root") != F.col("hub.root")) & (100 * F.least("size", "hub.size") >= percent * F.greatest("size", "hub.size")))
+    return pairs.groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+
+
 def _hot_across(flat: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, na, nb, ra, rb, shared) across components in hot lists that still hold several."""
     own = flat.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -357,6 +365,7 @@ def _near_duplicates(docs: DataFrame, percent: int, width: int, seed: int) -> Da
         return None
     lists = table.df.filter("bucket >= 0 AND part >= 0").select("bucket", "values", "which", "ranks", "nodes", "sizes", "hots")
     hubs = store.write_table(lists.groupBy("bucket").applyInArrow(lambda t: _hubs(t, percent), "bucket int, a long, b long, shared long"), "hubs").df
+    store.release(spark)
     total = hubs.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     flat = None
     if hot.any():
@@ -364,10 +373,17 @@ def _near_duplicates(docs: DataFrame, percent: int, width: int, seed: int) -> Da
         # Copies of a set stand in many chunks; a list has each once.
         flat = store.write_table(flat.groupBy("value", "node").agg(F.first("size").alias("size"), F.first("hot").alias("hot"), F.first("rank").alias("rank")), "hot").df
         total = total.unionByName(_hot_hubs(flat, percent)).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    best = total.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    first = _verified(docs, store.write_table(best, "pairs").df, percent, width, seed)
+    best = lambda pairs: store.write_table(pairs.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"), "pairs").df
+    first = _verified(docs, best(total), percent, width, seed)
     store.release(spark)
     roots = graph.components(first)
+    # A hot list that still holds several components gets further hubs, so that few pairs across them are left.
+    for _ in range(HUB_ROUNDS if flat is not None else 0):
+        again = best(_next_hubs(flat, roots, percent))
+        if again.isEmpty():
+            break
+        first = first.unionByName(_verified(docs, again, percent, width, seed))
+        roots = graph.components(first)
     met = hubs.select("bucket", F.col("a").alias("node")).union(hubs.select("bucket", "b")).distinct().join(roots, "node")
     across = lists.groupBy("bucket").cogroup(met.select("bucket", "node", "root").groupBy("bucket")).applyInArrow(lambda x, y: _summed(_across(x, y, percent) if x.num_rows else ()), "a long, b long, na long, nb long, ra long, rb long, shared long")
     if flat is not None:
