@@ -551,7 +551,7 @@ def status_tally(spark, sf_dir):
     return claims.tally(_t(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status")))
 
 
-@query("""WITH t AS (SELECT doc_id AS page, ' ' || trim(lower(regexp_replace(text, '[^\p{L}\p{N}]+', ' ', 'g'))) || ' ' AS t FROM documents WHERE text IS NOT NULL),
+@query(r"""WITH t AS (SELECT doc_id AS page, ' ' || trim(lower(regexp_replace(text, '[^\p{L}\p{N}]+', ' ', 'g'))) || ' ' AS t FROM documents WHERE text IS NOT NULL),
 q AS (SELECT doc_id AS page, substr(text, 11, 60) AS quote FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id + 1, substr(text, 5, 90) FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id + 5, substr(text, 1, 80) FROM documents WHERE text IS NOT NULL),
 w AS (SELECT *, trim(lower(regexp_replace(quote, '[^\p{L}\p{N}]+', ' ', 'g'))) AS w FROM q),
 h AS (SELECT w.page, w.quote, arg_min(t.page, abs(t.page - w.page) * 10 + (t.page > w.page)::INT) AS found_page FROM w JOIN t ON t.page BETWEEN w.page - 1 AND w.page + 1 AND w.w <> '' AND contains(t.t, ' ' || w.w || ' ') GROUP BY w.page, w.quote)
