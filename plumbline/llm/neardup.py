@@ -282,6 +282,8 @@ def _checked(docs: DataFrame, pairs: DataFrame, percent: int, width: int, seed:
     wanted = spark.sparkContext.broadcast(graph.bitmap(nodes.mapInArrow(_mixed, "node long"), "node"))
     texts = docs.mapInArrow(lambda it: _texts(it, wanted.value, width, seed), "node long, text binary").groupBy("node").agg(F.first("text").alias("text"))
     texts = store.write_table(texts.join(nodes, "node", "left_semi"), "texts", "none").df
+    # The texts are on disk once, before the exchanges below carry them again.
+    store.release(spark)
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 256).alias("parts"))
     salted = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt"))
     both = salted.unionByName(salted.select("a", F.col("a").alias("b"), "salt").distinct())
@@ -349,6 +351,7 @@ def _near_duplicates(docs: DataFrame, percent: int, width: int, seed: int) -> Da
     hot = graph.bitmap(hot_values(table.df), "value")
     if hot.any():
         table.drop()
+        store.release(spark)
         hot |= graph.bitmap(hot_values(cells(spark.sparkContext.broadcast(hot), whole=True)), "value")
         store.release(spark)
         table = store.write_table(cells(spark.sparkContext.broadcast(hot)), "lists", "none")
