@@ -17,7 +17,10 @@ keeps lists short and the guarantee whole. Sets of the same hash are one node, s
 
 Lists of the common values may hold a third of all sets, so they are never one task's: frequent values are found
 in parts of the chunks, their lists are plain rows, their hubs come from an aggregate with map-side combine,
-and their pairs from joins whose hot keys Spark splits. A list in a bucket is short.
+and their pairs from joins whose hot keys Spark splits. A list in a bucket is short. Sets that share much without
+linking would still meet in as many pairs as the square of their number. So a list's largest component meets only
+the rest of the list, and a pair comes out only if its marks allow a link: 1,024 parity bits of a set's hot values.
+A value that one set has and the other has not changes one bit, so marks never differ in more bits than values do.
 
 Null and empty texts have n_shingles 0 and are linked with nothing, and so are rows with a null id (their
 component is null, and they are kept). Rows that repeat an id each get a result. Columns named as the
@@ -41,10 +44,11 @@ from plumbline.llm.textops import LOWER, give_back, mix, span_hashes, text_block
 WIDTH = 5
 PERCENT = 85
 HOT, HOT_PARTS = 64, 8
+MARK_BITS = 1024
 CHUNK_BYTES = 6 << 20
 LIST_BYTES = 8 << 20  # text whose retained values one bucket holds
-CELLS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("part", pa.int32()), ("checks", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("hots", pa.list_(pa.int64())), ("nodes", pa.list_(pa.int64())), ("values", pa.binary()), ("which", pa.binary()), ("ranks", pa.binary())])
-CELLS_DDL = "chunk long, bucket int, part int, checks array<long>, ids array<long>, sizes array<long>, hots array<long>, nodes array<long>, values binary, which binary, ranks binary"
+CELLS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("part", pa.int32()), ("checks", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("hots", pa.list_(pa.int64())), ("nodes", pa.list_(pa.int64())), ("values", pa.binary()), ("which", pa.binary()), ("ranks", pa.binary()), ("marks", pa.binary())])
+CELLS_DDL = "chunk long, bucket int, part int, checks array<long>, ids array<long>, sizes array<long>, hots array<long>, nodes array<long>, values binary, which binary, ranks binary, marks binary"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -103,8 +107,23 @@ def sketches(values: np.ndarray, edges: np.ndarray, percent: int, hot: np.ndarra
     return values[keep], text[keep], rank[keep] + 1, hots
 
 
+def hot_marks(values: np.ndarray, edges: np.ndarray, use: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """For each text of ``use``, the parity bits of its hot values as a row of bytes."""
+    out = np.zeros((len(use), MARK_BITS // 8), np.uint8)
+    for k in range(0, len(use), 1024):
+        some = use[k : k + 1024]
+        n = edges[some + 1] - edges[some]
+        own = np.repeat(np.arange(len(some)), n)
+        value = values[np.repeat(edges[some] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        late = graph.in_bitmap(value, hot)
+        bit = (mix(value[late]) % np.uint64(MARK_BITS)).astype(np.int64)
+        odd = np.bincount(own[late] * MARK_BITS + bit, minlength=len(some) * MARK_BITS) & 1
+        out[k : k + 1024] = np.packbits(odd.astype(np.uint8).reshape(-1, MARK_BITS), axis=1)
+    return out
+
+
 def _cells(batches: Iterable[pa.RecordBatch], bits: int, percent: int, hot: np.ndarray | None, width: int, whole: bool = False, seed: int = 0) -> Iterator[pa.RecordBatch]:
-    """A row for each chunk with its rows' sets, and rows for each bucket with postings: lists of hot values apart, unless all are sought."""
+    """A row for each chunk with its rows' sets, one with its marks, and rows for each bucket with postings: lists of hot values apart, unless all are sought."""
     ids = store.chunk_counter()
     for rows, data, offsets in text_blocks(batches, max_bytes=CHUNK_BYTES):
         chunk = next(ids)
@@ -124,6 +143,11 @@ def _cells(batches: Iterable[pa.RecordBatch], bits: int, percent: int, hot: np.n
         once[np.flatnonzero(valid)[np.unique(nodes[valid], return_index=True)[1]]] = True
         use = once[text]
         value, text, rank = value[use], text[use], rank[use]
+        if hot is not None and not whole:
+            # Sets that retain a hot value, so those that can link by hot values alone.
+            able = np.flatnonzero(once & (hots > 0) & (100 * hots >= percent * sizes))
+            if len(able):
+                row(chunk=chunk, bucket=-2, part=0, nodes=nodes[able].view(np.int64), marks=hot_marks(values, edges, able, hot).tobytes())
         order = np.argsort(value, kind="stable")
         value, text, rank = value[order], text[order], rank[order]
         late = np.zeros(len(value), bool) if hot is None or whole else graph.in_bitmap(value, hot)
@@ -178,6 +202,15 @@ def _flat(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (value.view(np.int64), node, size, hot, rank)], ["value", "node", "size", "hot", "rank"])
 
 
+def _marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, marks) of the sets in each chunk's row."""
+    for batch in batches:
+        for nodes, marks in zip(batch.column("nodes").to_pylist(), batch.column("marks").to_pylist()):
+            words = np.frombuffer(marks, np.int64)
+            each = pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, MARK_BITS // 64), pa.int32()), pa.array(words))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), each], ["node", "marks"])
+
+
 def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
     """Sizes that can reach the threshold."""
     return 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
@@ -312,8 +345,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
 def _can_link(x: str, y: str, percent: int):
     """Whether the sets of two postings of a hot value can reach the threshold: they share hot values only."""
     size = lambda p: F.col(f"{p}.size")
+    hot = lambda p: F.col(f"{p}.hot")
     alike = 100 * F.least(size(x), size(y)) >= percent * F.greatest(size(x), size(y))
-    return alike & ((100 + percent) * F.least(F.col(f"{x}.hot"), F.col(f"{y}.hot")) >= percent * (size(x) + size(y)))
+    enough = (100 + percent) * F.least(hot(x), hot(y)) >= percent * (size(x) + size(y))
+    # Hot values that only one of them has: as many at least as bits in which their marks differ.
+    apart = F.expr(" + ".join(f"bit_count({x}.marks[{i}] ^ {y}.marks[{i}])" for i in range(MARK_BITS // 64)))
+    return alike & enough & ((100 + percent) * (hot(x) + hot(y) - apart) >= 2 * percent * (size(x) + size(y)))
 
 
 def _hot_hubs(flat: DataFrame, percent: int) -> DataFrame:
@@ -323,14 +360,19 @@ def _hot_hubs(flat: DataFrame, percent: int) -> DataFrame:
     return pairs.groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
 
 
-def _hot_across(flat: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def _hot_across(flat: DataFrame, marks: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, na, nb, ra, rb, shared) across components in hot lists that still hold several."""
     own = flat.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = own.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("value")
-    some = store.write_table(own.join(mixed, "value", "left_semi"), "mixed").df
-    x, y = some.alias("x"), some.alias("y")
-    pairs = x.join(y, F.expr("x.value = y.value AND x.node < y.node AND x.root <> y.root") & _can_link("x", "y", percent))
-    return pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.first("x.size").alias("na"), F.first("y.size").alias("nb"), F.max("x.rank").alias("ra"), F.max("y.rank").alias("rb"), F.count(F.lit(1)).alias("shared"))
+    sizes = own.groupBy("value", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("value")
+    mixed = sizes.agg(F.max(F.struct("n", "root"))["root"].alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("value", "top")
+    some = store.write_table(own.join(mixed, "value").join(marks, "node"), "mixed").df
+    # A list's largest component meets the others' nodes, never itself.
+    x, y = some.filter("root <> top").alias("x"), some.alias("y")
+    pairs = x.join(y, F.expr("x.value = y.value AND x.root <> y.root AND (y.root = y.top OR x.node < y.node)") & _can_link("x", "y", percent))
+    first = F.col("x.node") < F.col("y.node")
+    low, high = (lambda c: F.when(first, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}"))), (lambda c: F.when(first, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")))
+    pairs = pairs.select(low("node").alias("a"), high("node").alias("b"), low("size").alias("na"), high("size").alias("nb"), low("rank").alias("ra"), high("rank").alias("rb"))
+    return pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("ra").alias("ra"), F.max("rb").alias("rb"), F.count(F.lit(1)).alias("shared"))
 
 
 def _near_duplicates(docs: DataFrame, percent: int, width: int, seed: int) -> DataFrame | None:
@@ -355,7 +397,7 @@ def _near_duplicates(docs: DataFrame, percent: int, width: int, seed: int) -> Da
         hot |= graph.bitmap(hot_values(cells(spark.sparkContext.broadcast(hot), whole=True)), "value")
         store.release(spark)
         table = store.write_table(cells(spark.sparkContext.broadcast(hot)), "lists", "none")
-    rows = table.df.filter("bucket < 0").select(F.explode(F.arrays_zip("ids", "sizes", "nodes", "checks")).alias("x")).select(F.col("x.ids").alias("doc_id"), F.col("x.sizes").alias("n_shingles"), F.col("x.nodes").alias("node"), F.col("x.checks").alias("check"))
+    rows = table.df.filter("bucket = -1").select(F.explode(F.arrays_zip("ids", "sizes", "nodes", "checks")).alias("x")).select(F.col("x.ids").alias("doc_id"), F.col("x.sizes").alias("n_shingles"), F.col("x.nodes").alias("node"), F.col("x.checks").alias("check"))
     if not rows.filter("n_shingles > 0").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).filter("low <> high").isEmpty():
         return None
     lists = table.df.filter("bucket >= 0 AND part >= 0").select("bucket", "values", "which", "ranks", "nodes", "sizes", "hots")
@@ -375,7 +417,9 @@ def _near_duplicates(docs: DataFrame, percent: int, width: int, seed: int) -> Da
     met = hubs.select("bucket", F.col("a").alias("node")).union(hubs.select("bucket", "b")).distinct().join(roots, "node")
     across = lists.groupBy("bucket").cogroup(met.select("bucket", "node", "root").groupBy("bucket")).applyInArrow(lambda x, y: _summed(_across(x, y, percent) if x.num_rows else ()), "a long, b long, na long, nb long, ra long, rb long, shared long")
     if flat is not None:
-        across = across.unionByName(_hot_across(flat, roots, percent))
+        # Copies of a set have the same marks.
+        marks = table.df.filter("bucket = -2").select("nodes", "marks").mapInArrow(_marks, "node long, marks array<long>").dropDuplicates(["node"])
+        across = across.unionByName(_hot_across(flat, marks, roots, percent))
     seen = across.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("ra").alias("ra"), F.max("rb").alias("rb"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     can = F.col("shared") + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))
     rest = store.write_table(seen.filter(can * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select("a", "b"), "pairs").df

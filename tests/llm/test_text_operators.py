@@ -140,6 +140,42 @@ def test_near_duplicates_with_hot_values(spark, monkeypatch):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == sorted(brute_groups(texts))
 
 
+def test_hot_lists_pair_only_sets_that_may_link(spark, monkeypatch):
+    """Sets that share most of a large group's words, but too few with any one of it, aren't paired with each."""
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(150)]
+
+    def edited(i, at):
+        return i, " ".join(f"e{i}_{k}" if k in at else w for k, w in enumerate(base))
+
+    far = [sorted(rng.sample(range(80, 145, 5), 3)) for _ in range(12)]
+    texts = [edited(i, {5 + i}) for i in range(60)] + [edited(60 + i, set(at)) for i, at in enumerate(far)]
+    # These link with one of the group, by common words alone.
+    texts += [edited(80 + i, {5 + 12 * i, 82 + 12 * i, 140}) for i in range(4)]
+    rows, across = [], neardup._hot_across
+    monkeypatch.setattr(neardup, "HOT", 20)
+    monkeypatch.setattr(neardup, "_hot_across", lambda *x: rows.append(across(*x).select("a", "b", "shared").collect()) or across(*x))
+    got = neardup.near_duplicates(make(spark, texts), percent=80).collect()
+    truth = brute_groups(texts, 80)
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == sorted(truth)
+    assert {t[2] for t in truth if int(t[0]) < 60 or int(t[0]) >= 80} == {"0"} and len({t[2] for t in truth}) > 8
+    (pairs,) = rows
+    assert pairs and len(pairs) <= 40 and len({(r.a, r.b) for r in pairs}) == len(pairs)
+
+
+def test_marks_differ_in_no_more_bits_than_values():
+    rng = np.random.default_rng(5)
+    pool = np.unique(rng.integers(0, 2**63, 6000).astype(np.uint64))
+    sets = [np.sort(rng.choice(pool, n, replace=False)) for n in (0, 1, 40, 41, 900, 3000, 5000)] + [pool[:700], pool[20:700]]
+    edges = np.cumsum([0] + [len(x) for x in sets])
+    every = np.full(1 << 19, 0xFFFFFFFF, np.uint32)
+    marks = np.unpackbits(neardup.hot_marks(np.concatenate(sets), edges, np.arange(len(sets)), every), axis=1)
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            assert int((marks[i] ^ marks[j]).sum()) <= len(np.setxor1d(x, y))
+    assert int((marks[-1] ^ marks[-2]).sum()) >= 16
+
+
 def brute_repeats(texts, window=35):
     seen = collections.Counter()
     for _, t in texts:
