@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.constants import CHUNK_STRIDE, CHUNK_WORDS, STOP_WORDS, TOP_PASSAGES
 
 KEYWORD = r"[A-Za-z][A-Za-z\-]{2,}"
 TERM = r"[\p{L}\p{N}_\-]{2,}"
+# Terms that may be broadcast, and their longest length.
+COMMON_TERMS = 1 << 19
+COMMON_LENGTH = 64
 # Patterns of facts in papers.
 DOI = r"\b(10\.\d{4,9}/[-._;()/:A-Za-z0-9]+[A-Za-z0-9])"
 YEARS = r"\b((?:19|20)\d{2})\s*(?:-|–|to|through|until)\s*((?:19|20)\d{2})\b"
@@ -48,26 +51,52 @@ def quantities(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(QUANTITY), F.lit(0))).alias("quantity"))
 
 
-def tfidf(docs: DataFrame, doc: str, text: str, term: str = TERM) -> DataFrame:
-    """(doc, term, weight): (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), of unit length per document."""
-    terms = docs.select(doc, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(term), F.lit(0))).alias("term")).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = docs.agg(F.count(F.lit(1)).cast("double").alias("n"))
-    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    w = terms.join(df, "term").crossJoin(F.broadcast(n)).withColumn("w", (1.0 + F.log("tf")) * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0))
-    norm = w.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, doc).select(doc, "term", (F.col("w") / F.col("norm")).alias("weight"), F.col("df"), "n")
+def postings(docs: DataFrame, doc: str, text: str, term: str = TERM) -> DataFrame:
+    """(doc, terms): a row per document with its terms, each as often as it occurs, in order of letters.
+
+    Texts are exchanged once by document, so rows of one document meet and what follows per document needs no exchange.
+    """
+    own = docs.select(doc, text).repartition(doc).groupBy(doc).agg(F.array_join(F.collect_list(text), " ").alias("text"))
+    return own.select(doc, F.sort_array(F.regexp_extract_all(F.lower("text"), F.lit(term), F.lit(0))).alias("terms"))
+
+
+def term_counts(rows: DataFrame, doc: str, which: Column | None = None) -> DataFrame:
+    """(doc, term, tf) from ``postings``: the lengths of runs of equal terms, of documents ``which`` holds for.
+
+    Conditions stand in the generator; a filter would be pushed below and find the terms a second time.
+    """
+    t = F.col("terms")
+    ends = F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: (i == F.size(t)) | (F.get(t, i) != F.get(t, i - 1)))
+    runs = rows.select(doc, "terms", ends.alias("ends"))
+    one = lambda e, j: F.struct(F.get("terms", e - 1).alias("term"), (e - F.coalesce(F.get("ends", j - 1), F.lit(0))).alias("tf"))
+    found = F.transform("ends", one)
+    return runs.select(doc, F.explode(found if which is None else F.when(which, found)).alias("x")).select(doc, "x.term", "x.tf").filter("term IS NOT NULL")
 
 
 def search(docs: DataFrame, query: str, doc: str = "doc_id", text: str = "text", k: int = TOP_PASSAGES, term: str = TERM) -> DataFrame:
     """(doc, score): the most similar documents to the query's words with a score above 0.
 
-    Only documents' norms need all terms; the query's few terms reach the rest by a broadcast of their number.
+    Weights are (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), of unit length per document. Only documents with a word of the query
+    need their norms. Terms in at least one of ``COMMON_TERMS`` postings, so at most that many, are broadcast with their df; only
+    postings of rarer terms are exchanged.
     """
-    weights = tfidf(docs, doc, text, term)
-    asked = docs.sparkSession.createDataFrame([(query,)], "q string").select(F.explode(F.regexp_extract_all(F.lower("q"), F.lit(term), F.lit(0))).alias("term"))
-    q = asked.groupBy("term").agg(F.count(F.lit(1)).alias("qtf"))
-    hits = weights.join(F.broadcast(q), "term").withColumn("qw", (1.0 + F.log("qtf")) * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0))
-    return hits.groupBy(doc).agg(F.sum(F.col("weight") * F.col("qw")).alias("score")).filter("score > 0").orderBy(F.desc(F.round("score", 9)), doc).limit(k)
+    found = F.regexp_extract_all(F.lower(F.lit(query)), F.lit(term), F.lit(0))
+    rows = postings(docs, doc, text, term)
+    n = docs.agg(F.count(F.lit(1)).cast("double").alias("n"))
+    df = term_counts(rows, doc).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0
+    total = df.agg(F.sum("df").alias("total"))
+    least = F.when(F.length("term") <= COMMON_LENGTH, F.col("total").cast("double")).otherwise(float("inf"))
+    weighed = df.crossJoin(F.broadcast(n)).select("term", "df", idf.alias("idf"))
+    known = weighed.crossJoin(F.broadcast(total)).select("term", "idf", (F.col("df") * COMMON_TERMS >= least).alias("common"))
+    q = docs.sparkSession.range(1).select(F.explode(found).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("qtf"))
+    asked = weighed.join(F.broadcast(q), "term").select("term", ((1.0 + F.log("qtf")) * F.col("idf") * F.col("idf")).alias("qw"))
+    hit = term_counts(rows, doc, F.arrays_overlap("terms", found)).withColumn("w", 1.0 + F.log("tf"))
+    common = F.broadcast(known.filter("common").select("term", "idf"))
+    near = hit.join(common, "term", "left").join(F.broadcast(asked), "term", "left").groupBy(doc).agg(F.sum(F.pow(F.col("w") * F.col("idf"), 2)).alias("square"), F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    rare = hit.join(common, "term", "left_anti").join(known.filter("NOT common"), "term").groupBy(doc).agg(F.sum(F.pow(F.col("w") * F.col("idf"), 2)).alias("square"), F.lit(None).cast("double").alias("dot"))
+    both = near.unionByName(rare).groupBy(doc).agg((F.sum("dot") / F.sqrt(F.sum("square"))).alias("score"))
+    return both.filter((F.col("score") > 0) & F.when(F.col("score").isNotNull(), F.col(doc).isNotNull())).orderBy(F.desc(F.round("score", 9)), doc).limit(k)
 
 
 def vector_top(vectors: DataFrame, query: list[float], id_col: str, vec: str, k: int = TOP_PASSAGES) -> DataFrame:
