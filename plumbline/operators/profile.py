@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from plumbline.functions.catalog import COLUMNS, TOP
 from plumbline.functions.constants import CATEGORY_MAX, CORRELATION_MIN
 from plumbline.functions.expr import finite
+from plumbline.operators.quantiles import percentiles
 
 PERCENTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
@@ -22,18 +23,21 @@ def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
 
 
 def numeric_stats(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
-    """A row per column: count, missing_pct, min, max, mean, std (population) and percentiles, from one aggregate.
+    """A row per column: count, missing_pct, min, max, mean, std (population) and percentiles.
 
-    Exact percentiles keep each distinct value of a partition once; ``approximate`` bounds that instead.
+    Exact percentiles take a second pass over the rows, at once; ``approximate`` is one aggregate.
     """
+    names = ("p05", "p25", "p50", "p75", "p95")
     out = []
     for c in columns:
         v = finite(F.col(c))
-        p = F.percentile_approx(v, list(PERCENTILES), 10_000) if approximate else F.percentile(v, F.array(*map(F.lit, PERCENTILES)))
-        out.append(F.struct(F.lit(c).alias("column"), F.count(v).alias("count"), (100.0 * (F.count(F.lit(1)) - F.count(v)) / F.count(F.lit(1))).alias("missing_pct"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), p.alias("p")))
+        p = [F.percentile_approx(v, list(PERCENTILES), 10_000).alias("p")] if approximate else []
+        out.append(F.struct(F.lit(c).alias("column"), F.count(v).alias("count"), F.round(100.0 * (F.count(F.lit(1)) - F.count(v)) / F.count(F.lit(1)), 2).alias("missing_pct"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), *p))
+    if not approximate:
+        found, row = percentiles(df, {c: (finite(F.col(c)), PERCENTILES) for c in columns}, F.array(*out).alias("s"))
+        return df.sparkSession.createDataFrame([(*s, *found[s["column"]]) for s in row["s"]], "column string, count long, missing_pct double, min double, max double, mean double, std double, " + ", ".join(f"{n} double" for n in names))
     rows = df.agg(F.array(*out).alias("s")).select(F.explode("s").alias("s")).select("s.*")
-    names = ("p05", "p25", "p50", "p75", "p95")
-    return rows.select("column", "count", F.round("missing_pct", 2).alias("missing_pct"), "min", "max", "mean", "std", *[F.col("p")[i].alias(n) for i, n in enumerate(names)])
+    return rows.select("column", "count", "missing_pct", "min", "max", "mean", "std", *[F.col("p")[i].alias(n) for i, n in enumerate(names)])
 
 
 def column_profile(df: DataFrame, order: str) -> DataFrame:
