@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import spatial
+from plumbline.operators.quantiles import percentiles
 
 # Words that name elevation and vegetation, and the baselines of terrain.
 ELEVATION = r"(?i)\b(elevation|dem|dtm|dsm|height|topograph\w*|altitude|terrain|relief)\b|(?i)(?:^|_)(dem|elev)(?:_|$)"
@@ -46,7 +47,8 @@ def trend_map(cells: DataFrame, year: str) -> DataFrame:
     """One row about the slopes of all pixels: how many, the shares that rise and fall, and those beyond |t| = 2."""
     p = spatial.pixel_trends(cells, ["iy", "ix"], year, "value")
     pct = lambda c: F.round(100.0 * F.avg(F.when(c, 1.0).otherwise(0.0)), 2)
-    return p.agg(F.count(F.lit(1)).alias("n_pixels"), F.percentile("slope", F.lit(0.5)).alias("median_slope"), pct(F.col("slope") > 0).alias("rising_pct"), pct(F.col("slope") < 0).alias("falling_pct"), pct(F.abs("t_stat") > 2).alias("significant_pct"))
+    median = F.lit(percentiles(p, {"slope": (F.col("slope"), (0.5,))})[0]["slope"][0]).cast("double")
+    return p.agg(F.count(F.lit(1)).alias("n_pixels"), median.alias("median_slope"), pct(F.col("slope") > 0).alias("rising_pct"), pct(F.col("slope") < 0).alias("falling_pct"), pct(F.abs("t_stat") > 2).alias("significant_pct"))
 
 
 def factors(cell: float, side: int) -> list[tuple[int, int]]:
@@ -68,7 +70,8 @@ def baseline_profile(grid: DataFrame, cell: float, side: int) -> DataFrame:
     for base, f in factors(cell, side):
         blocks = grid if f == 1 else spatial.block_mean(grid, f).select(F.col("by").alias("iy"), F.col("bx").alias("ix"), F.col("mean").alias("z"))
         s = spatial.slopes(blocks, cell * f, cell * f).filter("slope IS NOT NULL")
-        row = s.agg(F.lit(base).alias("baseline"), F.count(F.lit(1)).alias("n"), F.percentile("slope", F.lit(0.5)).alias("median_slope"), F.percentile("slope", F.lit(0.9)).alias("p90_slope")).filter(F.col("n") >= LEAST_CELLS)
+        found, count = percentiles(s, {"slope": (F.col("slope"), (0.5, 0.9))}, F.count(F.lit(1)).alias("n"))
+        row = grid.sparkSession.createDataFrame([(base, count["n"], *found["slope"])], "baseline int, n long, median_slope double, p90_slope double").filter(F.col("n") >= LEAST_CELLS)
         out = row if out is None else out.unionByName(row)
     if out is None:
         return grid.sparkSession.createDataFrame([], "baseline int, n long, median_slope double, p90_slope double")
@@ -78,14 +81,15 @@ def baseline_profile(grid: DataFrame, cell: float, side: int) -> DataFrame:
 def colour_histogram(values: DataFrame, value: str, bins: int = 64, whole_bytes: bool = False) -> DataFrame:
     """(bin, n): equal bins over 0 to 255, or over the 0.1th to 99.9th percentile; what lies beyond is in the outer bins."""
     v = values.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
-    ends = v.agg(F.lit(0.0).alias("a"), F.lit(255.0).alias("b")) if whole_bytes else v.agg(F.percentile("v", F.lit(0.001)).alias("a"), F.percentile("v", F.lit(0.999)).alias("b"))
-    at = F.floor((F.col("v") - F.col("a")) / (F.col("b") - F.col("a")) * bins)
-    return v.crossJoin(F.broadcast(ends)).filter("b > a").groupBy(F.greatest(F.lit(0), F.least(F.lit(bins - 1), at)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    a, b = [F.lit(x).cast("double") for x in ((0.0, 255.0) if whole_bytes else percentiles(v, {"v": (F.col("v"), (0.001, 0.999))})[0]["v"])]
+    at = F.floor((F.col("v") - a) / (b - a) * bins)
+    return v.filter(b > a).groupBy(F.greatest(F.lit(0), F.least(F.lit(bins - 1), at)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def map_scale(values: DataFrame, value: str) -> DataFrame:
     """One row (low, high, diverging): the 2nd and 98th percentile, made symmetric where they lie on both sides of 0."""
-    p = values.agg(F.percentile(value, F.lit(0.02)).alias("a"), F.percentile(value, F.lit(0.98)).alias("b"))
+    found, _ = percentiles(values, {"v": (F.col(value), (0.02, 0.98))})
+    p = values.sparkSession.createDataFrame([tuple(found["v"])], "a double, b double")
     both = (F.col("a") < 0) & (F.col("b") > 0)
     far = F.greatest(-F.col("a"), F.col("b"))
     return p.select(F.when(both, -far).otherwise(F.col("a")).alias("low"), F.when(both, far).otherwise(F.col("b")).alias("high"), both.alias("diverging"))

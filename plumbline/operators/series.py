@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.constants import EXTREME_Z, EXTREMES_KEPT
 from plumbline.functions.expr import decimal_year, finite
+from plumbline.operators.quantiles import percentiles
 
 
 def canonical(df: DataFrame, time: str, value: str) -> DataFrame:
@@ -55,9 +56,10 @@ def time_coverage(df: DataFrame, time: str) -> DataFrame:
     counts = df.filter(F.col(time).isNotNull()).groupBy(micros.alias("t")).agg(F.count(F.lit(1)).alias("n"))
     steps = _split_lag(counts, "t", 86400 * 366 * 1_000_000).withColumn("d", F.col("t") - F.col("previous"))
     seconds = lambda c: (c / 1e6).cast("double")
-    top = steps.agg(F.percentile("d", F.lit(0.5)).alias("median_step"), F.min("t").alias("a"), F.max("t").alias("b"), F.count(F.lit(1)).alias("n_steps"), (F.sum("n") - F.count(F.lit(1))).alias("duplicate_times"), F.max("d").alias("gap"))
-    gaps = steps.crossJoin(F.broadcast(top.select("median_step"))).agg(F.count_if(F.col("d") > 1.6 * F.col("median_step")).alias("n_gaps"))
-    return top.crossJoin(F.broadcast(gaps)).select(seconds(F.col("a")).alias("start_s"), seconds(F.col("b")).alias("end_s"), "n_steps", seconds(F.col("median_step")).alias("median_step_s"), "duplicate_times", "n_gaps", seconds(F.col("gap")).alias("largest_gap_s"))
+    found, _ = percentiles(steps, {"d": (F.col("d"), (0.5,))})
+    median = F.lit(found["d"][0]).cast("double")
+    top = steps.agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count(F.lit(1)).alias("n_steps"), (F.sum("n") - F.count(F.lit(1))).alias("duplicate_times"), F.max("d").alias("gap"), F.count_if(F.col("d") > 1.6 * median).alias("n_gaps"))
+    return top.select(seconds(F.col("a")).alias("start_s"), seconds(F.col("b")).alias("end_s"), "n_steps", seconds(median).alias("median_step_s"), "duplicate_times", "n_gaps", seconds(F.col("gap")).alias("largest_gap_s"))
 
 
 def seasonal_cycle(points: DataFrame) -> DataFrame:
@@ -82,11 +84,11 @@ def linear_trend(points: DataFrame) -> DataFrame:
 
 def extremes(points: DataFrame, k: int = EXTREMES_KEPT) -> DataFrame:
     """(t, v, z) with the largest robust |z| of ``EXTREME_Z`` or more."""
-    m = points.agg(F.percentile("v", F.lit(0.5)).alias("m"), F.stddev_pop("v").alias("s"))
-    dev = points.crossJoin(F.broadcast(m))
-    mad = dev.agg(F.percentile(F.abs(F.col("v") - F.col("m")), F.lit(0.5)).alias("mad"))
-    scale = F.greatest(1.4826 * F.col("mad"), 0.5 * F.col("s"))
-    return dev.crossJoin(F.broadcast(mad)).withColumn("z", F.when(scale > 0, (F.col("v") - F.col("m")) / scale)).filter(F.abs("z") >= EXTREME_Z).orderBy(F.desc(F.abs("z")), "t").limit(k).select("t", "v", "z")
+    found, row = percentiles(points, {"v": (F.col("v"), (0.5,))}, F.stddev_pop("v").alias("s"))
+    off = F.col("v") - F.lit(found["v"][0]).cast("double")
+    mad = percentiles(points, {"mad": (F.abs(off), (0.5,))})[0]["mad"][0]
+    scale = F.greatest(1.4826 * F.lit(mad).cast("double"), 0.5 * F.lit(row["s"]).cast("double"))
+    return points.withColumn("z", F.when(scale > 0, off / scale)).filter(F.abs("z") >= EXTREME_Z).orderBy(F.desc(F.abs("z")), "t").limit(k).select("t", "v", "z")
 
 
 def daily_counts(df: DataFrame, time: str, key: str | None = None) -> DataFrame:
