@@ -52,25 +52,24 @@ def quantities(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def postings(docs: DataFrame, doc: str, text: str, term: str = TERM) -> DataFrame:
-    """(doc, terms): a row per document with its terms, each as often as it occurs, in order of letters.
+    """(doc, terms): a row per document with its terms, each as often as it occurs.
 
     Texts are exchanged once by document, so rows of one document meet and what follows per document needs no exchange.
     """
     own = docs.select(doc, text).repartition(doc).groupBy(doc).agg(F.array_join(F.collect_list(text), " ").alias("text"))
-    return own.select(doc, F.sort_array(F.regexp_extract_all(F.lower("text"), F.lit(term), F.lit(0))).alias("terms"))
+    return own.select(doc, F.regexp_extract_all(F.lower("text"), F.lit(term), F.lit(0)).alias("terms"))
 
 
-def term_counts(rows: DataFrame, doc: str, which: Column | None = None) -> DataFrame:
+def term_counts(rows: DataFrame, doc: str, which: Column) -> DataFrame:
     """(doc, term, tf) from ``postings``: the lengths of runs of equal terms, of documents ``which`` holds for.
 
-    Conditions stand in the generator; a filter would be pushed below and find the terms a second time.
+    Other documents get no array to sort; a filter would be pushed below and find the terms a second time.
     """
     t = F.col("terms")
     ends = F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: (i == F.size(t)) | (F.get(t, i) != F.get(t, i - 1)))
-    runs = rows.select(doc, "terms", ends.alias("ends"))
+    runs = rows.select(doc, F.when(which, F.sort_array("terms")).alias("terms")).select(doc, "terms", ends.alias("ends"))
     one = lambda e, j: F.struct(F.get("terms", e - 1).alias("term"), (e - F.coalesce(F.get("ends", j - 1), F.lit(0))).alias("tf"))
-    found = F.transform("ends", one)
-    return runs.select(doc, F.explode(found if which is None else F.when(which, found)).alias("x")).select(doc, "x.term", "x.tf").filter("term IS NOT NULL")
+    return runs.select(doc, F.explode(F.transform("ends", one)).alias("x")).select(doc, "x.term", "x.tf").filter("term IS NOT NULL")
 
 
 def search(docs: DataFrame, query: str, doc: str = "doc_id", text: str = "text", k: int = TOP_PASSAGES, term: str = TERM) -> DataFrame:
@@ -83,7 +82,7 @@ def search(docs: DataFrame, query: str, doc: str = "doc_id", text: str = "text",
     found = F.regexp_extract_all(F.lower(F.lit(query)), F.lit(term), F.lit(0))
     rows = postings(docs, doc, text, term)
     n = docs.agg(F.count(F.lit(1)).cast("double").alias("n"))
-    df = term_counts(rows, doc).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = rows.select(F.explode(F.filter(F.array_distinct("terms"), lambda x: x.isNotNull())).alias("term")).filter("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0
     total = df.agg(F.sum("df").alias("total"))
     least = F.when(F.length("term") <= COMMON_LENGTH, F.col("total").cast("double")).otherwise(float("inf"))
